@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from .decontaminate import OP2_SQL, op2_decontaminate
+from .lattice import op9_lattice
 from .mixing import OP7_SQL, op7_mixing
 from .simhash import op10_simhash
 from .tokenfile import op4_token_output
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_token_output, op7_mixing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_token_output, op7_mixing, op9_lattice, op10_simhash)}
 ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op7_mixing": OP7_SQL}
