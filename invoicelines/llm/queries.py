@@ -7,6 +7,7 @@ from .lattice import op9_lattice
 from .mixing import OP7_SQL, op7_mixing
 from .simhash import op10_simhash
 from .tokenfile import op4_token_output
+from .toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_token_output, op7_mixing, op9_lattice, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_token_output, op5_toxicity, op7_mixing, op9_lattice, op10_simhash)}
 ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op7_mixing": OP7_SQL}
