@@ -4,7 +4,8 @@ Tokens are tagged 0 or 1. A token's emission is a sum of weights of its lower-ca
 form, its beginnings and its endings; a tag also depends on the one before. Only
 documents are labelled, so the labelled tokens are derived: a token of a toxic
 document is 1 if its form or one of its beginnings is much more common in the
-toxic documents of the training sample than in the others, all other tokens are 0.
+toxic documents of the training sample than in the others, counted by different
+neighbours, so that copies count once; all other tokens are 0.
 The field is fitted to them by gradient ascent on the penalised likelihood, with
 forward-backward marginals as expectations.
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import fold, table
 
 #: Most documents of each label that the field is fitted to.
-SAMPLE = {1: 1200, 0: 1800}
+SAMPLE = {1: 1000, 0: 2500}
 CUT = 0.7
 WORD = re.compile(r"\w+")
 HEADS, TAILS = range(2, 9), range(2, 5)
@@ -180,22 +181,25 @@ def fit(texts: list[str], labels: np.ndarray, share: float, rounds: int = 40) ->
     tokens = np.fromiter(chain.from_iterable(words), np.int32, sizes.sum())
     del words
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
-    # In how many toxic and other documents of the sample each word and each feature is.
-    seen = np.unique(owner.astype(np.int64) * len(number) + tokens) if len(tokens) else np.zeros(0, np.int64)
-    seen_doc, seen_word = seen // max(1, len(number)), seen % max(1, len(number))
+    # A word counts once for each pair of neighbours, so that copies of a document count as one.
+    inner = np.concatenate(([0], tokens, [0])).astype(np.int64)
+    around = (inner[:-2] * 1_000_003 + inner[2:]) * 1_000_003 + tokens
+    _, once = np.unique(around * 2 + labels[owner], return_index=True)
     names: dict[str, int] = {}
     lists = [[names.setdefault(f, len(names)) for f in features(w)] for w in number]
     of_word = np.repeat(np.arange(len(number)), [len(x) for x in lists])
     of_feature = np.fromiter(chain.from_iterable(lists), np.int64, len(of_word))
     del lists
-    by_word = [np.bincount(seen_word[labels[seen_doc] == c], minlength=len(number)) for c in (0, 1)]
+    by_word = [np.bincount(tokens[once[labels[owner[once]] == c]], minlength=len(number)) for c in (0, 1)]
     by_feature = [np.bincount(of_feature, by_word[c][of_word], len(names)) for c in (0, 1)]
     n = [max(1, int((labels == c).sum())) for c in (0, 1)]
-    more = np.log((by_feature[1] + 0.5) / (n[1] + 1)) - np.log((by_feature[0] + 1.0) / (n[0] + 1))
-    least = max(3, int(0.002 * n[1]))
-    strong = (by_feature[1] >= least) & (more > np.log(12))
+    total = [max(1, int(by_word[c].sum())) for c in (0, 1)]
+    more = np.log((by_feature[1] + 0.5) / total[1]) - np.log((by_feature[0] + 1.0) / total[0])
+    # Rare enough for chance: so many of a feature's occurrences in toxic documents alone.
+    least = max(3.0, np.log(1e5) / np.log(sum(total) / total[1]))
     label_names = np.array([f[0] != "$" for f in names])
-    cue = np.bincount(of_word, (strong & label_names)[of_feature], len(number)) > 0
+    strong = (by_feature[1] >= least) & (more > np.log(12)) & label_names
+    cue = np.bincount(of_word, strong[of_feature], len(number)) > 0
     tags = cue[tokens] & (labels[owner] == 1)
     # Features of a few documents only have no weight.
     used = np.flatnonzero(by_feature[0] + by_feature[1] >= 3)
