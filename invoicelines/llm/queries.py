@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP2_SQL, op2_decontaminate
+from .dom import op6_html_text
 from .langid import op3_language_id
 from .lattice import op9_lattice
 from .mixing import OP7_SQL, op7_mixing
@@ -11,5 +12,5 @@ from .simhash import op10_simhash
 from .tokenfile import op4_token_output
 from .toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_language_model, op2_decontaminate, op3_language_id, op4_token_output, op5_toxicity, op7_mixing, op9_lattice, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_language_model, op2_decontaminate, op3_language_id, op4_token_output, op5_toxicity, op6_html_text, op7_mixing, op9_lattice, op10_simhash)}
 ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op7_mixing": OP7_SQL}
