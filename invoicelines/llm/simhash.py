@@ -13,13 +13,21 @@ those five bytes and one of the four 6-bit groups of the rest (three bits cannot
 touch all four). A last list holds at most 2**18 different fingerprints, so
 work per fingerprint is bounded at each level, and no link is lost.
 
-Lists give the edges of a spanning forest, not all pairs.
+Long lists give the edges of a spanning forest, not all pairs.
+
+Three of 64 bits hold only nearly equal texts. To find texts by a similarity of
+their shingle sets, near_dedup() takes longer fingerprints (WORDS words of 64 bits):
+a similarity s leaves a share acos(2 s / (1 + s)) / pi of the bits different, and
+pairs are links up to that share and one standard deviation. There is no
+guaranteed minimum then; pairs must share two of eight positional bytes in one of
+the first two words, which at a similarity of 0.8 nine in ten do, at 0.9 99 in 100.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import acos, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -27,85 +35,97 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, stored, table
+from .common import components, ship, stored, table
 
 BLOCK = 2048
+#: Of near_dedup(): similarity of shingle sets and length of fingerprints.
+SIMILARITY, WORDS = 0.8, 4
 BYTES = [0xFF << (8 * i) for i in range(8)]
 HALVES = [c for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for c in combinations(half, 3)]
 
 
-def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats included.
+def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42, words: int = 1) -> tuple[int, ...] | int:
+    """The SimHash of a text's word shingles, repeats included: 64 bits, or a tuple of `words` times 64 bits.
 
     A-Z are lower-cased, words are runs without the six ASCII white-space
     bytes. Fewer words than a shingle make one shingle; null or no word: zero.
     """
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    found = _words(text, shingle, seed, words)
+    return found[0] if words == 1 else found
+
+
+def _words(text: bytes | None, shingle: int, seed: int, words: int) -> tuple[int, ...]:
+    parts = (text or b"").lower().split()
+    if not parts:
+        return (0,) * words
+    joined = b" ".join(parts)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    if len(words) > shingle:
-        starts, ends = starts[: len(words) - shingle + 1], ends[shingle - 1 :]
+    if len(parts) > shingle:
+        starts, ends = starts[: len(parts) - shingle + 1], ends[shingle - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
-    total, n = np.zeros(64, np.int64), len(starts)
+    total, n = np.zeros((words, 64), np.int64), len(starts)
     for at in range(0, n, 8192):
         spans = zip(starts[at : at + 8192].tolist(), ends[at : at + 8192].tolist(), strict=True)
         h = np.fromiter((digest(joined[s:e], seed) for s, e in spans), np.uint64)
-        total += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
+        for k in range(words):
+            if k:  # further hashes of the shingle from its first
+                h = (h + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(32)
+                h *= np.uint64(0xD6E8FEB86659FD93)
+                h ^= h >> np.uint64(32)
+            total[k] += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return tuple(int.from_bytes(np.packbits(2 * t > n).tobytes(), "big") for t in total)
 
 
-def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = 3) -> DataFrame:
-    """The columns `keep` and fp (the fingerprint's bits as bigint), a row per row."""
+def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = 3, words: int = 1) -> DataFrame:
+    """The columns `keep` and f0, f1, ... (the fingerprint's words as bigint), a row per row."""
+    names = [f"f{k}" for k in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values = b.column(len(keep)).cast(pa.binary()).to_pylist()
-            fp = np.array([fingerprint(v, shingle) for v in values], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(fp)], names=[*keep, "fp"])
+            fp = np.array([_words(v, shingle, 42, words) for v in values], np.uint64).reshape(len(values), words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *map(pa.array, np.ascontiguousarray(fp.T))], names=[*keep, *names])
 
     picked = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[: len(keep)]]
-    return picked.mapInArrow(run, ", ".join([*fields, "fp bigint"]))
+    return picked.mapInArrow(run, ", ".join([*fields, *[f"{c} bigint" for c in names]]))
 
 
 def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _posted(rows: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
-    """A posting (slot, key, fp) for each of a row's masks; masks: by the row's slot."""
+def _posted(rows: DataFrame, masks: dict[int, list[int]], words: list[str], of: dict[int, int] | None = None) -> DataFrame:
+    """A posting (slot, key, fp, the words) for each of a row's masks. masks: by the row's slot; of: the word they mask, by that slot."""
     lists = F.create_map(*[x for s, ms in masks.items() for x in (F.lit(s), F.array(*[F.struct(F.lit(s * 64 + j).alias("slot"), F.lit(_signed(m)).cast("bigint").alias("mask")) for j, m in enumerate(ms)]))])
-    return rows.select("fp", F.explode(F.element_at(lists, F.col("slot"))).alias("p")).select("p.slot", F.col("fp").bitwiseAND(F.col("p.mask")).alias("key"), "fp")
+    rows = rows.select("fp", *words, "slot", F.explode(F.element_at(lists, F.col("slot"))).alias("p"))
+    masked = F.element_at(F.array(*words), F.element_at(F.create_map(*[F.lit(x) for s, w in of.items() for x in (s, w + 1)]), F.col("slot"))) if of else F.col(words[0])
+    return rows.select("p.slot", masked.bitwiseAND(F.col("p.mask")).alias("key"), "fp", *words)
 
 
 def _linked(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    """Tally of shared positional bytes, then the exact distance."""
+    """Whether fingerprints (last axis: words) are at most `bits` apart; tally of shared positional bytes first, where it decides."""
     x = a ^ b
-    enough = (x[..., None].view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=-1, dtype=np.uint8) >= 8 - bits
-    return enough & (np.bitwise_count(x) <= bits)
+    far = np.bitwise_count(x).sum(axis=-1, dtype=np.int32) > bits
+    if x.shape[-1] == 1 and bits < 8:
+        far |= (x[..., None].view(np.uint8).reshape(*x.shape[:-1], 8) == 0).sum(axis=-1, dtype=np.uint8) < 8 - bits
+    return ~far
 
 
 def _forest(fp: np.ndarray, bits: int) -> np.ndarray:
-    """For each fingerprint of a list the index of its component's first one."""
-    n, label = len(fp), np.arange(len(fp))
-    if n > BLOCK:  # only last-level lists: rows in blocks
-        while True:
-            new = label.copy()
-            for at in range(0, n, 256):
-                for to in range(0, n, BLOCK * 4):
-                    near = _linked(fp[at : at + 256, None], fp[None, to : to + BLOCK * 4], bits)
-                    new[at : at + 256] = np.minimum(new[at : at + 256], np.where(near, label[None, to : to + BLOCK * 4], n).min(axis=1))
-            if (new == label).all():
-                return label
-            label = new[new]
-    near = _linked(fp[:, None], fp[None, :], bits)
+    """For each fingerprint of a list the number of its component's first one; rows in blocks, so memory is bounded."""
+    n = len(fp)
+    label, rows = np.arange(n), max(1, (1 << 19) // (n * fp.shape[1]))
+    kept = np.concatenate([_linked(fp[at : at + rows, None], fp[None], bits) for at in range(0, n, rows)]) if n <= 4096 else None
     while True:
-        new = np.minimum(label, np.where(near, label[None, :], n).min(axis=1))
+        new = label.copy()
+        for at in range(0, n, max(rows, 1)):
+            near = kept[at : at + rows] if kept is not None else _linked(fp[at : at + rows, None], fp[None], bits)
+            new[at : at + rows] = np.where(near, label[None, :], n).min(axis=1)
         new = new[new]
         if (new == label).all():
             return label
@@ -114,44 +134,57 @@ def _forest(fp: np.ndarray, bits: int) -> np.ndarray:
 
 def _match(postings: DataFrame, bits: int, block: int | None, slots: int) -> DataFrame:
     """Reads sorted postings as a stream and gives edges (kind 0: a, b) and, of lists longer than `block`, the postings themselves (kind 1: fp, slot)."""
+    short = 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         last, size, hot = None, 0, False
 
         def out(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["kind", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            fp = np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-            if len(fp) > 1:
+        def whole(ids: np.ndarray, fp: np.ndarray, slot: int) -> Iterator[pa.RecordBatch]:
+            if block and len(ids) > block:
+                yield out(1, ids, np.full(len(ids), slot, np.int64))
+            elif len(ids) > 1:
                 first = _forest(fp, bits)
-                moved = first != np.arange(len(fp))
-                if moved.any():
-                    yield out(0, fp[moved], fp[first[moved]])
+                moved = first != np.arange(len(ids))
+                yield out(0, ids[moved], ids[first[moved]])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            slot, key, fp = (np.asarray(c) for c in b.columns)
-            fp = fp.view(np.uint64)
+            slot, key, ids = (np.asarray(c) for c in b.columns[:3])
+            fp = np.stack([np.asarray(c) for c in b.columns[3:]], axis=1).view(np.uint64)
             cuts = np.flatnonzero((slot[1:] != slot[:-1]) | (key[1:] != key[:-1])) + 1
-            starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(fp)]))
-            one = (ends - starts == 1) & (starts > 0) & (ends < len(fp))  # a list of one within the batch
-            for s, e in zip(starts[~one].tolist(), ends[~one].tolist(), strict=True):
-                if (at := (slot[s], key[s])) != last:
-                    if not hot:
-                        yield from flush()
+            starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(ids)]))
+            inner = slice(1, -1)  # lists that neither begin before the batch nor end after it
+            sizes, closes = (ends - starts)[inner], ends[inner]
+            for s, e in zip(starts[inner][sizes > short].tolist(), closes[sizes > short].tolist(), strict=True):
+                yield from whole(ids[s:e], fp[s:e], int(slot[s]))
+            few = (sizes > 1) & (sizes <= short)
+            if few.any():
+                stop = np.repeat(closes[few], sizes[few])
+                row = stop - np.repeat(sizes[few], sizes[few]) + np.arange(len(stop)) - np.repeat(np.cumsum(sizes[few]) - sizes[few], sizes[few])
+                for d in range(1, int(sizes[few].max())):
+                    row, stop = row[row + d < stop], stop[row + d < stop]
+                    near = row[_linked(fp[row], fp[row + d], bits)]
+                    if len(near):
+                        yield out(0, ids[near], ids[near + d])
+            for s, e in {(int(starts[0]), int(ends[0])): 0, (int(starts[-1]), int(ends[-1])): 0}:
+                if (at := (int(slot[s]), int(key[s]))) != last:
+                    if held and not hot:
+                        yield from whole(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), last[0])
                     held, size, hot, last = [], 0, False, at
-                held.append(fp[s:e])
+                held.append((ids[s:e], fp[s:e]))
                 size += e - s
-                if block and size > block:
+                if block and size > block:  # passed on as it comes
                     hot = True
-                    a = np.concatenate(held)
-                    yield out(1, a, np.full(len(a), slot[s], np.uint64))
+                    found = np.concatenate([h[0] for h in held])
+                    yield out(1, found, np.full(len(found), last[0], np.int64))
                     held = []
-        if not hot:
-            yield from flush()
+        if held and not hot:
+            yield from whole(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), last[0])
 
     dealt = postings.repartition(slots, "slot", "key").sortWithinPartitions("slot", "key")
     return dealt.mapInArrow(run, "kind int, a bigint, b bigint")
@@ -160,8 +193,8 @@ def _match(postings: DataFrame, bits: int, block: int | None, slots: int) -> Dat
 def links(distinct: DataFrame, bits: int = 3, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) that connect what links of at most `bits` (0 to 3) differing bits connect.
 
-    distinct: column fp (bigint), each value once. The edges are a spanning
-    forest of every posting list, at most one fewer than its members.
+    distinct: column fp (bigint), each value once. Lists of more than a few dozen
+    give a spanning forest, at most one edge fewer than their members.
     """
     slots = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = {0: [sum(BYTES[i] for i in c) for c in HALVES]}
@@ -173,7 +206,7 @@ def links(distinct: DataFrame, bits: int = 3, block: int = BLOCK) -> DataFrame:
             third[s * 64 + j] = [m | sum(1 << i for i in free[g : g + 6]) for g in range(0, 24, 6)]
     edges, rows = None, distinct.select("fp", F.lit(0).alias("slot"))
     for masks, limit in ((first, block), (second, block), (third, None)):
-        found, _ = stored(_match(_posted(rows, masks), bits, limit, slots), "simhash")
+        found, _ = stored(_match(_posted(rows.withColumn("f0", F.col("fp")), masks, ["f0"]), bits, limit, slots), "simhash")
         edges = found.where("kind = 0").select("a", "b") if edges is None else edges.union(found.where("kind = 0").select("a", "b"))
         rows = found.where("kind = 1").select(F.col("a").alias("fp"), F.col("b").cast("int").alias("slot")).distinct()
         if rows.isEmpty():
@@ -181,8 +214,24 @@ def links(distinct: DataFrame, bits: int = 3, block: int = BLOCK) -> DataFrame:
     return edges
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 3, block: int = BLOCK) -> DataFrame:
-    """id_col, fingerprint (16 hex digits), component_id; one row per row of `docs`.
+def allowed_bits(similarity: float, words: int) -> int:
+    """Differing bits at a similarity of shingle sets, and one standard deviation more."""
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    return int(64 * words * share + sqrt(64 * words * share * (1 - share)))
+
+
+def long_links(distinct: DataFrame, bits: int, words: int) -> DataFrame:
+    """Edges (a, b) between long fingerprints at most `bits` apart that share two bytes of one of their first two words. distinct: fp (their id), f0, f1, ..."""
+    slots = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"f{k}" for k in range(words)]
+    pairs = [BYTES[p] | BYTES[q] for p, q in combinations(range(8), 2)]
+    masks = {k: pairs for k in range(min(2, words))}
+    rows = distinct.select("fp", *names, F.explode(F.array(*map(F.lit, masks))).alias("slot"))
+    return stored(_match(_posted(rows, masks, names, {k: k for k in masks}), bits, None, slots), "simhash")[0].select("a", "b")
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 3, block: int = BLOCK, words: int = 1) -> DataFrame:
+    """id_col, fingerprint (16 hex digits for each of its words), component_id; one row per row of `docs`.
 
     component_id is the smallest id whose fingerprint can be reached by links
     of at most `bits` bits, the row's own included. Null and empty texts have
@@ -191,24 +240,30 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     other). Repeated rows stay repeated. Other columns of `docs` are not read.
     An empty table gives an empty result.
     """
-    marked, _ = stored(fingerprints(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")), keep=("id",), shingle=shingle), "simhash")
-    by_fp = marked.groupBy("fp").agg(F.min("id").alias("least"))
-    found = components(links(by_fp.select("fp"), bits, block))
+    ship(docs.sparkSession)
+    names = [f"f{k}" for k in range(words)]
+    marked = fingerprints(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")), keep=("id",), shingle=shingle, words=words)
+    marked, _ = stored(marked.withColumn("fp", F.xxhash64(*names) if words > 1 else F.col("f0")), "simhash")
+    by_fp = marked.groupBy("fp").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in names])
+    found = components(links(by_fp.select("fp"), bits, block) if words == 1 else long_links(by_fp, bits, words))
     named = by_fp.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     # Groups of one fingerprint need no second look; the others are few.
     several = named.join(found.select(F.col("component").alias("top")).distinct(), F.col("component") == F.col("top"), "left_semi")
     least = several.groupBy("component").agg(F.min("least").alias("group_least"))
     final = named.join(least, "component", "left").select("fp", F.when(F.col("group_least").isNull(), F.col("least")).otherwise(F.col("group_least")).alias("component_id"))
-    return marked.join(final, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    digits = F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in names])
+    return marked.join(final, "fp").select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """`docs` with one document of each group, the one of the smallest id.
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = 5, words: int = WORDS) -> DataFrame:
+    """`docs` with one document of each group of similar ones, the one of the smallest id.
 
+    Documents whose sets of shingles are estimated to have the similarity or
+    more are similar, and what they connect is a group. Texts without words are one group.
     A repeated id is one document: one of its rows stays (ties by the text's
     hash). Rows with a null id always stay. Columns are as in `docs`.
     """
-    groups = simhash_groups(docs, id_col, text, **kw)
+    groups = simhash_groups(docs, id_col, text, shingle, allowed_bits(similarity, words), words=words)
     kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept_id")).distinct()
     rows = docs.join(kept, F.col(f"`{id_col}`") == F.col("_kept_id"), "left_semi")
     order = Window.partitionBy(F.col(f"`{id_col}`")).orderBy(F.xxhash64(F.col(f"`{text}`")))
