@@ -11,6 +11,7 @@ from .pitman_yor import op1_language_model
 from .simhash import op10_simhash
 from .tokenfile import op4_token_output
 from .toxicity import op5_toxicity
+from .trie_counts import op8_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_language_model, op2_decontaminate, op3_language_id, op4_token_output, op5_toxicity, op6_html_text, op7_mixing, op9_lattice, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_language_model, op2_decontaminate, op3_language_id, op4_token_output, op5_toxicity, op6_html_text, op7_mixing, op8_token_counts, op9_lattice, op10_simhash)}
 ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op7_mixing": OP7_SQL}
