@@ -19,7 +19,7 @@ def lines_of(spark, *docs):
 def test_blocks_equal_a_greedy_loop(spark):
     rng = random.Random(1)
     pool = [ROW1.format("Α"), "ΦΟΠ Τιμολόγιο", "Γ21", "Γ22 Επαγγελματικό", "Επαγγελματικό", "Ημέρα 2 1 1 1", "x"]
-    docs = [[rng.choice(pool) for _ in range(rng.randint(0, 14))] for _ in range(120)]
+    docs = [[rng.choice(pool) for _ in range(rng.randint(0, 14))] for _ in range(400)]
 
     def norm(s):
         return re.sub(r"\s+", "  ", s.strip())
