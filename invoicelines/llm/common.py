@@ -76,8 +76,8 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
     edges: columns a, b (bigint, not null), in any order and repeated at will.
-    Returns node, component (the smallest node reachable) for every node that
-    has an edge to another node. Each round is two self-joins; its result is
+    Returns node, component (the smallest node reachable) for every node but
+    those that are their own component. Each round is two self-joins; its result is
     stored, so the plan does not grow. Hubs are split by the adaptive join.
     An empty input gives an empty result.
     """

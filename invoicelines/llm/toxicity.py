@@ -327,10 +327,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     return rows.mapInArrow(run, ", ".join(fields))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
-    """`docs` without the rows that the field predicts to be toxic; columns as in `docs`."""
-    model = train(docs, labels, **kw)
-    return score(docs, model, spans=False).where("predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", **kw) -> DataFrame:
+    """`docs` without the rows that the field predicts to be toxic; columns as in `docs`, whatever their names."""
+    model = train(docs, labels, id_col, text, **kw)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # none can clash with the score's
+    scored = score(docs.toDF(*names), model, names[docs.columns.index(text)], names, spans=False)
+    return scored.where("predicted = 0").select(*names).toDF(*docs.columns)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
