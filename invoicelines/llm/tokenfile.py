@@ -40,6 +40,8 @@ SPANS = {2: (1, 1), 3: (2, 1), 4: (2, 2), 5: (3, 2), 6: (3, 3), 7: (4, 3), 8: (4
 BLOCK_IDS = 1 << 16
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
+#: Pieces of text whose ids a worker remembers at most.
+KNOWN_PIECES = 1_000_000
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -107,7 +109,7 @@ class Encoder:
     odd = re.compile(r"[^\S ] | [^\S ]|  |^ | $")
     cut = re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, most: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
         from tokenizers import Tokenizer
 
@@ -164,9 +166,9 @@ class Encoder:
 
 
 @lru_cache(1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int) -> Encoder:
     """One per worker process, so that later tasks know the pieces of earlier ones."""
-    return Encoder(path)
+    return Encoder(path, most)
 
 
 def _groups(texts: list[str | None], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
@@ -181,13 +183,14 @@ def _groups(texts: list[str | None], most: int = 1 << 19) -> Iterator[tuple[int,
         yield at, len(texts)
 
 
-def write_token_file(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int | None = END_ID, block_ids: int = BLOCK_IDS) -> None:
+def write_token_file(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int | None = END_ID, block_ids: int = BLOCK_IDS, known_pieces: int = KNOWN_PIECES) -> None:
     """Encodes every whole text and writes the token file, documents in ascending id order.
 
     Null and empty texts have no ids but the end id. Rows with a null id come
     first; rows with the same id are ordered by the text's hash. vocabulary: a
     tokenizer file's path, by default the public byte-level vocabulary, looked
-    up where the task runs. Other columns are not read. An empty table gives a
+    up where the task runs; known_pieces: how many pieces a worker remembers,
+    about 250 bytes each. Other columns are not read. An empty table gives a
     file without blocks.
     """
     spark = docs.sparkSession
@@ -195,7 +198,7 @@ def write_token_file(docs: DataFrame, path: str, id_col: str = "doc_id", text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        encode = encoder(vocabulary or public_tokenizers.path(VOCABULARY)).encode
+        encode = encoder(vocabulary or public_tokenizers.path(VOCABULARY), known_pieces).encode
         ids, lengths, held, size, block = [], [], [], 0, 0
 
         def out() -> pa.RecordBatch:

@@ -283,7 +283,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 
         class Emissions(dict):
             def __missing__(self, word: str) -> float:
-                if len(self) > 1_000_000:
+                if len(self) > 200_000:
                     self.clear()
                 self[word] = out = model.emission(word)
                 return out
