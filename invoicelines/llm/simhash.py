@@ -15,12 +15,13 @@ work per fingerprint is bounded at each level, and no link is lost.
 
 Long lists give the edges of a spanning forest, not all pairs.
 
-Three of 64 bits hold only nearly equal texts. To find texts by a similarity of
-their shingle sets, near_dedup() takes longer fingerprints (WORDS words of 64 bits):
-a similarity s leaves a share acos(2 s / (1 + s)) / pi of the bits different, and
-pairs are links up to that share and one standard deviation. There is no
-guaranteed minimum then; pairs must share two of eight positional bytes in one of
-the first two words, which at a similarity of 0.8 nine in ten do, at 0.9 99 in 100.
+Three of 64 bits hold only nearly equal texts. near_dedup() finds texts by the
+similarity of their sets of shingles. Equal sets are one node. Fingerprints of WORDS
+words, over distinct shingles, only propose pairs: a similarity s leaves a share
+acos(2 s / (1 + s)) / pi of the bits different, pairs up to four standard deviations
+above it are looked at if they agree in one of KEYS drawn sets of 16 bits (in
+simulation 0.997 of pairs of similarity 0.8 and 0.9998 of 0.85). What is proposed is
+verified on the shingles themselves before it links.
 """
 
 from __future__ import annotations
@@ -40,6 +41,10 @@ from .common import components, ship, stored, table
 BLOCK = 2048
 #: Of near_dedup(): similarity of shingle sets and length of fingerprints.
 SIMILARITY, WORDS = 0.8, 4
+#: Posting keys of long fingerprints, and bits in each.
+KEYS, KEY_BITS = 128, 16
+#: Shorter lists are compared many at once; a list with more pairs than SPARSE times its members gives one pair a member at first.
+FEW, SPARSE = 64, 2
 BYTES = [0xFF << (8 * i) for i in range(8)]
 HALVES = [c for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for c in combinations(half, 3)]
 
@@ -54,10 +59,11 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42, words: int
     return found[0] if words == 1 else found
 
 
-def _words(text: bytes | None, shingle: int, seed: int, words: int) -> tuple[int, ...]:
+def _hashes(text: bytes | None, shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles in their order, repeats included, in parts."""
     parts = (text or b"").lower().split()
     if not parts:
-        return (0,) * words
+        return
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -66,10 +72,15 @@ def _words(text: bytes | None, shingle: int, seed: int, words: int) -> tuple[int
     else:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
-    total, n = np.zeros((words, 64), np.int64), len(starts)
-    for at in range(0, n, 8192):
+    for at in range(0, len(starts), 8192):
         spans = zip(starts[at : at + 8192].tolist(), ends[at : at + 8192].tolist(), strict=True)
-        h = np.fromiter((digest(joined[s:e], seed) for s, e in spans), np.uint64)
+        yield np.fromiter((digest(joined[s:e], seed) for s, e in spans), np.uint64)
+
+
+def _bits(parts: Iterator[np.ndarray], words: int) -> tuple[int, ...]:
+    total, n = np.zeros((words, 64), np.int64), 0
+    for h in parts:
+        n += len(h)
         for k in range(words):
             if k:  # further hashes of the shingle from its first
                 h = (h + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
@@ -80,6 +91,20 @@ def _words(text: bytes | None, shingle: int, seed: int, words: int) -> tuple[int
     return tuple(int.from_bytes(np.packbits(2 * t > n).tobytes(), "big") for t in total)
 
 
+def _words(text: bytes | None, shingle: int, seed: int, words: int) -> tuple[int, ...]:
+    return _bits(_hashes(text, shingle, seed), words)
+
+
+def shingle_set(text: bytes | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """The hashes of a text's distinct shingles, sorted; none for null or no word."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_hashes(text, shingle, seed)]))
+
+
+def _number(found: np.ndarray) -> int:
+    """Of a set of shingles, signed."""
+    return _signed(xxhash.xxh64_intdigest(found.tobytes(), 7))
+
+
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = 3, words: int = 1) -> DataFrame:
     """The columns `keep` and f0, f1, ... (the fingerprint's words as bigint), a row per row."""
     names = [f"f{k}" for k in range(words)]
@@ -215,23 +240,200 @@ def links(distinct: DataFrame, bits: int = 3, block: int = BLOCK) -> DataFrame:
 
 
 def allowed_bits(similarity: float, words: int) -> int:
-    """Differing bits at a similarity of shingle sets, and one standard deviation more."""
+    """Differing bits at a similarity of shingle sets, and four standard deviations more."""
     share = acos(2 * similarity / (1 + similarity)) / pi
-    return int(64 * words * share + sqrt(64 * words * share * (1 - share)))
+    return int(64 * words * share + 4 * sqrt(64 * words * share * (1 - share)))
+
+
+def _masks(words: int) -> list[list[int]]:
+    """Of each key and word the bits taken: of each shuffle of all bits, as many sets as it has."""
+    rng, out = np.random.default_rng(7), []
+    while len(out) < KEYS:
+        for chosen in rng.permutation(64 * words)[: 64 * words // KEY_BITS * KEY_BITS].reshape(-1, KEY_BITS).tolist():
+            out.append([_signed(sum(1 << (c % 64) for c in chosen if c // 64 == k)) for k in range(words)])
+    return out[:KEYS]
+
+
+def _keyed(nodes: DataFrame, names: list[str]) -> DataFrame:
+    """key, fp, the words: a posting of each node under each key."""
+    masks = F.array(*[F.struct(F.lit(j).alias("slot"), *[F.lit(m).cast("bigint").alias(c) for c, m in zip(names, ms, strict=True)]) for j, ms in enumerate(_masks(len(names)))])
+    key = F.xxhash64("p.slot", *[F.col(c).bitwiseAND(F.col(f"p.{c}")) for c in names])
+    return nodes.select("fp", *names, F.explode(masks).alias("p")).select(key.alias("key"), "fp", *names)
+
+
+def _lists(batches: Iterator[pa.RecordBatch], block: int | None) -> Iterator[tuple[list[np.ndarray], np.ndarray, bool]]:
+    """Sorted rows (key, others) as (columns, starts of whole lists, long). A list of more than `block` rows comes in parts as it is read, with long true."""
+    held: list[list[np.ndarray]] = []
+    size, hot = 0, False
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [np.asarray(c) for c in b.columns]
+        cuts = np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1
+        starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [b.num_rows]))
+        if len(starts) > 2:
+            s, e = int(starts[1]), int(ends[-2])
+            sizes = ends[1:-1] - starts[1:-1]
+            yield [c[s:e] for c in columns], np.append(0, np.cumsum(sizes)), False
+        for s, e in {(int(starts[0]), int(ends[0])): 0, (int(starts[-1]), int(ends[-1])): 0}:
+            if held and held[0][0][0] != columns[0][s] or hot and not held and last != columns[0][s]:
+                if held:
+                    yield [np.concatenate(c) for c in zip(*held, strict=True)], np.array([0, size]), hot
+                held, size, hot = [], 0, False
+            last = columns[0][s]
+            held.append([c[s:e] for c in columns])
+            size += e - s
+            if block and (hot or size > block):
+                hot = True
+                yield [np.concatenate(c) for c in zip(*held, strict=True)], np.array([0, size]), True
+                held, size = [], 0
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)], np.array([0, size]), hot
+
+
+def _pairs(fp: np.ndarray, starts: np.ndarray, bits: int, rest: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions i < j of one list that are at most `bits` apart, list by list or many short lists at once; rest: one of the two must be marked."""
+    sizes = np.diff(starts)
+    few = (sizes > 1) & (sizes <= FEW)
+    if few.any():
+        stop = np.repeat(starts[1:][few], sizes[few])
+        row = stop - np.repeat(sizes[few], sizes[few]) + np.arange(len(stop)) - np.repeat(np.cumsum(sizes[few]) - sizes[few], sizes[few])
+        found = []
+        for d in range(1, int(sizes[few].max())):
+            row, stop = row[row + d < stop], stop[row + d < stop]
+            near = row[_linked(fp[row], fp[row + d], bits)]
+            found.append(np.stack((near, near + d)))
+        i, j = np.concatenate(found, axis=1)
+        if rest is not None:
+            i, j = i[rest[i] | rest[j]], j[rest[i] | rest[j]]
+        yield i, j
+    for s, e in zip(starts[:-1][sizes > FEW].tolist(), starts[1:][sizes > FEW].tolist(), strict=True):
+        mine = np.arange(s, e) if rest is None else s + np.flatnonzero(rest[s:e])
+        step = max(1, (1 << 19) // ((e - s) * fp.shape[1]))
+        found = []
+        for at in range(0, len(mine), step):
+            i, j = np.nonzero(_linked(fp[mine[at : at + step], None], fp[None, s:e], bits))
+            i, j = mine[at : at + step][i], j + s
+            kept = i < j if rest is None else (i < j) | (~rest[j] & (i != j))
+            found.append(np.stack((np.minimum(i, j)[kept], np.maximum(i, j)[kept])))
+        if found:
+            yield tuple(np.concatenate(found, axis=1))
+
+
+def _rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
+
+
+def _proposed(postings: DataFrame, by: list[str], bits: int, block: int | None) -> DataFrame:
+    """Of lists (rows of equal columns `by`, the first being the key): kind 0, pairs (a, b); of lists whose pairs are not all there kind 1, of lists longer than `block`, without pairs, kind 2: (key, fp)."""
+    slots = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [c for c in postings.columns if c not in (*by, "fp")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, starts, long in _lists(batches, block):
+            key, ids = columns[:2]
+            if long:
+                yield _rows(2, key, ids)
+                continue
+            sizes, owner = np.diff(starts), np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            dense = np.zeros(len(sizes), bool)
+            for i, j in _pairs(np.stack(columns[2:], axis=1).view(np.uint64), starts, bits):
+                much = np.bincount(owner[i], minlength=len(sizes)) > SPARSE * sizes
+                dense |= much
+                least = np.full(len(ids), len(ids))  # the first one near to each
+                np.minimum.at(least, j, i)
+                kept = ~much[owner[i]] | (least[j] == i)
+                yield _rows(0, ids[j[kept]], ids[i[kept]])
+            if dense.any():
+                yield _rows(1, key[dense[owner]], ids[dense[owner]])
+
+    key = F.col(by[0]) if len(by) == 1 else F.xxhash64(*by)
+    dealt = postings.select(key.alias("key"), "fp", *names).repartition(slots, "key").sortWithinPartitions("key", "fp")
+    return dealt.mapInArrow(run, "kind int, a bigint, b bigint")
 
-def long_links(distinct: DataFrame, bits: int, words: int) -> DataFrame:
-    """Edges (a, b) between long fingerprints at most `bits` apart that share two bytes of one of their first two words. distinct: fp (their id), f0, f1, ..."""
-    slots = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = [f"f{k}" for k in range(words)]
-    pairs = [BYTES[p] | BYTES[q] for p, q in combinations(range(8), 2)]
-    masks = {k: pairs for k in range(min(2, words))}
-    rows = distinct.select("fp", *names, F.explode(F.array(*map(F.lit, masks))).alias("slot"))
-    return stored(_match(_posted(rows, masks, names, {k: k for k in masks}), bits, None, slots), "simhash")[0].select("a", "b")
 
+def _across(lists: DataFrame, nodes: DataFrame, names: list[str], found: DataFrame, bits: int, block: int) -> DataFrame:
+    """All pairs (a, b) at most `bits` apart within `lists` (key, fp) whose components differ.
+
+    Members outside a list's largest component are compared with all members, in
+    a grid of blocks, so a task holds about two blocks however long the list.
+    """
+    slots = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    label = F.coalesce("component", "fp")
+    rows, _ = stored(lists.join(found, F.col("fp") == F.col("node"), "left").select("key", "fp", label.alias("label")), "simhash")
+    parts = rows.groupBy("key", "label").agg(F.count("*").alias("m"))
+    parts = parts.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "label")).alias("most")).where("n > most.m")
+    grid = parts.select("key", F.col("most.label").alias("main"), F.ceil(F.col("n") / block).cast("int").alias("wide"), F.ceil((F.col("n") - F.col("most.m")) / block).cast("int").alias("high"))
+    rows = rows.join(grid, "key").join(nodes.select("fp", *names), "fp").withColumn("other", F.col("label") != F.col("main"))
+    own = F.pmod(F.xxhash64("fp"), F.col("wide")).cast("int")
+    own_high = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("high")).cast("int")
+    members = rows.select("key", own.alias("x"), F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("y"), "fp", "label", F.lit(False).alias("other"), *names)
+    others = rows.where("other").select("key", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("x"), own_high.alias("y"), "fp", "label", "other", *names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, starts, _ in _lists(batches, None):
+            ids, labels, other = columns[1:4]
+            for i, j in _pairs(np.stack(columns[4:], axis=1).view(np.uint64), starts, bits, other.astype(bool)):
+                kept = labels[i] != labels[j]
+                a, b = ids[i[kept]], ids[j[kept]]
+                yield _rows(0, np.maximum(a, b), np.minimum(a, b))
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 3, block: int = BLOCK, words: int = 1) -> DataFrame:
-    """id_col, fingerprint (16 hex digits for each of its words), component_id; one row per row of `docs`.
+    cells = members.unionByName(others).select(F.xxhash64("key", "x", "y").alias("key"), "fp", "label", F.col("other").cast("int").alias("other"), *names)
+    return cells.repartition(slots, "key").sortWithinPartitions("key").mapInArrow(run, "kind int, a bigint, b bigint").select("a", "b").distinct()
+
+
+def verified(edges: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The edges (a, b) whose sets of shingles have the similarity. nodes: fp, body; texts: body (hash of the text), text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, shingle) for t in b.column(0).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_number(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["fp", "held"])
+
+    ends = edges.select(F.col("a").alias("fp")).union(edges.select(F.col("b").alias("fp"))).distinct()
+    bodies = nodes.join(ends, "fp", "left_semi").select("body")
+    picked = texts.join(bodies, F.xxhash64("text") == F.col("body"), "left_semi").groupBy(F.xxhash64("text")).agg(F.first("text").alias("text")).select("text")
+    sets, _ = stored(picked.mapInArrow(run, "fp bigint, held array<bigint>"), "simhash")
+    both = edges.join(sets.select(F.col("fp").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("held").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
+
+
+def near_components(nodes: DataFrame, texts: DataFrame, similarity: float, shingle: int, words: int, block: int = BLOCK) -> DataFrame:
+    """node, component as components() gives them, of links verified on the texts' shingles.
+
+    nodes: fp, body, f0, f1, ..., a row for each set of shingles; texts: text. All pairs
+    that share a list and are near by their bits are verified but those that
+    links found before already connect. Lists longer than `block` are dealt in blocks
+    that share their first member, then what is not connected is compared across.
+    """
+    bits, names = allowed_bits(similarity, words), [f"f{k}" for k in range(words)]
+    found, _ = stored(_proposed(_keyed(nodes, names), ["key"], bits, block), "simhash")
+    edges, lists = found.where("kind = 0").select("a", "b"), found.where("kind > 0").select(F.col("a").alias("key"), F.col("b").alias("fp"))
+    long = found.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("fp"))
+    if not long.isEmpty():
+        sizes = long.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("wide"), F.min("fp").alias("hub"))
+        own = F.array(F.pmod(F.xxhash64("fp"), F.col("wide")).cast("int"))
+        dealt = long.join(sizes, "key").withColumn("x", F.explode(F.when(F.col("fp") == F.col("hub"), F.sequence(F.lit(0), F.col("wide") - 1)).otherwise(own)))
+        more, _ = stored(_proposed(dealt.join(nodes.select("fp", *names), "fp").select("key", "x", "fp", *names), ["key", "x"], bits, None), "simhash")
+        edges = edges.union(more.where("kind = 0").select("a", "b"))
+    edges, _ = stored(edges.distinct(), "simhash")
+    first, _ = stored(edges.groupBy("a").agg(F.min("b").alias("b")), "simhash")
+    links, _ = stored(verified(first, nodes, texts, similarity, shingle), "simhash")
+    for further in (lambda now: edges, lambda now: _across(lists, nodes, names, now, bits, block)):
+        now = components(links)
+        x, y = now.select(F.col("node").alias("a"), F.col("component").alias("x")), now.select(F.col("node").alias("b"), F.col("component").alias("y"))
+        open_ = further(now).join(x, "a", "left").join(y, "b", "left").where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+        tried, _ = stored(open_.join(first, ["a", "b"], "left_anti"), "simhash")
+        if tried.isEmpty():
+            continue
+        links, _ = stored(links.union(verified(tried, nodes, texts, similarity, shingle)), "simhash")
+        first = first.union(tried)
+    return components(links)
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 3, block: int = BLOCK) -> DataFrame:
+    """id_col, fingerprint (16 hex digits), component_id; one row per row of `docs`.
 
     component_id is the smallest id whose fingerprint can be reached by links
     of at most `bits` bits, the row's own included. Null and empty texts have
@@ -241,34 +443,49 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     An empty table gives an empty result.
     """
     ship(docs.sparkSession)
-    names = [f"f{k}" for k in range(words)]
-    marked = fingerprints(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")), keep=("id",), shingle=shingle, words=words)
-    marked, _ = stored(marked.withColumn("fp", F.xxhash64(*names) if words > 1 else F.col("f0")), "simhash")
-    by_fp = marked.groupBy("fp").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in names])
-    found = components(links(by_fp.select("fp"), bits, block) if words == 1 else long_links(by_fp, bits, words))
-    named = by_fp.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    marked = fingerprints(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")), keep=("id",), shingle=shingle)
+    marked, _ = stored(marked.withColumnRenamed("f0", "fp"), "simhash")
+    by_fp = marked.groupBy("fp").agg(F.min("id").alias("least"))
+    final = _least(by_fp, components(links(by_fp.select("fp"), bits, block)))
+    return marked.join(final, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _least(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """fp, component_id: the least id of a node's component. nodes: fp, least; found: node, component."""
+    named = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     # Groups of one fingerprint need no second look; the others are few.
     several = named.join(found.select(F.col("component").alias("top")).distinct(), F.col("component") == F.col("top"), "left_semi")
     least = several.groupBy("component").agg(F.min("least").alias("group_least"))
-    final = named.join(least, "component", "left").select("fp", F.when(F.col("group_least").isNull(), F.col("least")).otherwise(F.col("group_least")).alias("component_id"))
-    digits = F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in names])
-    return marked.join(final, "fp").select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
+    return named.join(least, "component", "left").select("fp", F.when(F.col("group_least").isNull(), F.col("least")).otherwise(F.col("group_least")).alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = 5, words: int = WORDS) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = 5, words: int = WORDS, block: int = BLOCK) -> DataFrame:
     """`docs` with one document of each group of similar ones, the one of the smallest id.
 
-    Documents whose sets of shingles are estimated to have the similarity or
-    more are similar, and what they connect is a group. Texts without words are one group.
+    Documents whose sets of shingles have the similarity or more are similar, and
+    what they connect is a group. Texts without words are one group.
     A repeated id is one document: one of its rows stays (ties by the text's
     hash). Rows with a null id always stay. Columns are as in `docs`.
     """
-    groups = simhash_groups(docs, id_col, text, shingle, allowed_bits(similarity, words), words=words)
-    kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept_id")).distinct()
-    rows = docs.join(kept, F.col(f"`{id_col}`") == F.col("_kept_id"), "left_semi")
-    order = Window.partitionBy(F.col(f"`{id_col}`")).orderBy(F.xxhash64(F.col(f"`{text}`")))
+    ship(docs.sparkSession)
+    names = [f"f{k}" for k in range(words)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, shingle) for t in b.column(2).cast(pa.binary()).to_pylist()]
+            f = np.array([_bits(iter((x,)), words) for x in sets], np.uint64).reshape(len(sets), words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_number(x) for x in sets], pa.int64()), *map(pa.array, np.ascontiguousarray(f.T))], names=["id", "body", "fp", *names])
+
+    id_, body = F.col(f"`{id_col}`"), F.col(f"`{text}`")
+    fields = [f"id {docs.select(id_).schema[0].dataType.simpleString()}", "body bigint", "fp bigint", *[f"{c} bigint" for c in names]]
+    marked, _ = stored(docs.select(id_.alias("id"), F.xxhash64(body).alias("body"), body.alias("text")).mapInArrow(run, ", ".join(fields)), "simhash")
+    nodes, _ = stored(marked.groupBy("fp").agg(F.min("id").alias("least"), F.min("body").alias("body"), *[F.first(c).alias(c) for c in names]), "simhash")
+    found = near_components(nodes, docs.select(body.alias("text")), similarity, shingle, words, block)
+    kept = _least(nodes, found).where("component_id IS NOT NULL").select(F.col("component_id").alias("_kept_id")).distinct()
+    rows = docs.join(kept, id_ == F.col("_kept_id"), "left_semi")
+    order = Window.partitionBy(id_).orderBy(F.xxhash64(body))
     rows = rows.withColumn("_row_no", F.row_number().over(order)).where("_row_no = 1").drop("_row_no")
-    return rows.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    return rows.unionByName(docs.where(id_.isNull()))
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
