@@ -29,6 +29,8 @@ UNKNOWN = "und"
 #: Follow-the-regularised-leader: rate, smoothing, L1 and L2 penalties, rounds over the sample.
 RATE, SMOOTH, L1, L2, ROUNDS = 1.0, 1.0, 0.2, 0.5, 3
 NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: The same for Spark: what NOT_LETTERS leaves, and characters newer than Java's tables.
+LETTER = r"[\p{L}\p{Nl}\p{No}\p{Cn}]"
 
 
 def buckets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,8 +139,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], idf: np.nd
 def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 3, held_out: int = 1, sample: int = SAMPLE) -> Model:
     """Learns from text and non-null lang of rows whose id's crc32 modulo `folds` is not `held_out`.
 
-    The sample: of each language the `sample` rows with the least hashes of
-    their texts. Texts without a letter teach nothing.
+    The sample: of each language the `sample` different texts with a letter that
+    have the least hashes. Copies and texts without a letter take no place.
     """
     rows = docs.where(fold(F.col(f"`{id_col}`"), folds) != held_out).where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
     rows = rows.select(F.col(f"`{text}`").alias("body"), F.col(f"`{lang}`").alias("lang"), F.xxhash64(F.col(f"`{text}`")).alias("order"))
@@ -161,7 +163,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
 
     # Limited before and after its shuffle, so a common language sends `sample` rows a task.
     place = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
-    chosen = rows.select("lang", "order").withColumn("place", place).where(F.col("place") <= sample).select("lang", "order").distinct()
+    usable = rows.where(F.col("body").rlike(LETTER)).select("lang", "order").distinct()
+    chosen = usable.withColumn("place", place).where(F.col("place") <= sample).select("lang", "order")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

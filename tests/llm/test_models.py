@@ -270,3 +270,19 @@ def test_trie_counts(spark):
         assert (got[i].n_pretokens, got[i].n_tokens) == (len(words), sum(f[1] for f in found))
         assert abs(got[i].unigram_score + sum(f[0] for f in found)) < 1e-6 * (1 + len(words))
     assert trie_counts.token_counts(docs.limit(0), keep=["doc_id"]).count() == 0
+
+
+def test_language_sample_has_different_texts(spark, monkeypatch):
+    """5000 copies of a text and texts without a letter leave the sample's places to the others."""
+    rng = random.Random(12)
+    rows = [(lang, " ".join(rng.choice(words) for _ in range(12))) for lang, words in (("en", ["the", "dog", "runs", "home"]), ("de", ["der", "hund", "geht", "heim"])) for _ in range(60)]
+    rows += [(lang, f"{k} {k * k} !") for lang in ("en", "de") for k in range(300)]
+    distinct = spark.createDataFrame(rows, "lang string, text string")
+    least = distinct.where("lang = 'en' AND text LIKE '% %e%'").orderBy(F.xxhash64("text")).first().text
+    copies = spark.range(5000).select(F.lit("en").alias("lang"), F.lit(least).alias("text"))
+    docs = distinct.union(copies).select(F.lit(None).cast("bigint").alias("doc_id"), "lang", "text")
+    seen = []
+    fit = langid.fit
+    monkeypatch.setattr(langid, "fit", lambda data, labels, idf: seen.append(labels) or fit(data, labels, idf))
+    langid.train(docs, sample=40)
+    assert (seen[0].count("en"), seen[0].count("de")) == (40, 40)
