@@ -56,6 +56,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 SPLIT = re.compile(r"[^a-z0-9]+")
+HEADING = re.compile(r"h[1-6]")
 
 
 @dataclass
@@ -64,6 +65,9 @@ class Node:
     parent: int
     names: frozenset
     hidden: bool = False
+    #: Whole names, and whether a word inside a longer name is one of BOILERPLATE.
+    whole: frozenset = frozenset()
+    hinted: bool = False
     #: The node's own text and its children's numbers, in page order.
     parts: list = field(default_factory=list)
 
@@ -106,9 +110,14 @@ def parse(page: str) -> list[Node]:
                     break
         attributes = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(tag[len(element) + 1 :])} if "=" in tag else {}
         names = frozenset(w for a in ("class", "id", "role", "itemprop", "aria-label") if a in attributes for w in SPLIT.split(attributes[a].lower()) if w)
+        whole = frozenset(w for a in ("class", "id", "role", "itemprop", "aria-label") if a in attributes and (a != "id" or not HEADING.fullmatch(element)) for w in attributes[a].lower().split())
+        # Ids on headings, and of several words inside the main text, are made of the heading's own words.
+        if "id" in attributes and not whole & {attributes["id"].lower()} & BOILERPLATE and (HEADING.fullmatch(element) or any(nodes[i].element in ("article", "main") for i in stack)):
+            others = frozenset(w for a in ("class", "role", "itemprop", "aria-label") if a in attributes for w in SPLIT.split(attributes[a].lower()))
+            names -= (frozenset(SPLIT.split(attributes["id"].lower())) & BOILERPLATE) - others
         bare = tag[len(element) + 1 :].lower()
         hidden = "display:none" in attributes.get("style", "").replace(" ", "").lower() or attributes.get("aria-hidden") == "true" or bool(re.search(r"\shidden(?=[\s/>]|$)", bare))
-        nodes.append(Node(element, stack[-1], names, hidden))
+        nodes.append(Node(element, stack[-1], names, hidden, whole, bool(names & BOILERPLATE)))
         nodes[stack[-1]].parts.append(len(nodes) - 1)
         if element in VOID or tag.endswith("/>"):
             continue
@@ -147,16 +156,23 @@ def features(nodes: list[Node]) -> list[list[str]]:
 
 
 def is_boilerplate(x: Node) -> bool:
-    """Whether a node names such a role: by its element, by being hidden, or by a word of its names that is not taken back by a content element."""
-    return x.element in BOILERPLATE_ELEMENTS or x.hidden or (x.element not in ("article", "main", "body", "html") and bool(x.names & BOILERPLATE))
+    """Whether a node names such a role beyond doubt: by its element, by being hidden, or by a whole name that is not taken back by a content element."""
+    return (x.element in BOILERPLATE_ELEMENTS and x.element != "form") or x.hidden or (x.element not in ("article", "main", "body", "html") and bool(x.whole & BOILERPLATE))
+
+
+def is_hinted(x: Node) -> bool:
+    """Whether a word inside a longer name, or being a form, speaks for boilerplate."""
+    return x.element not in ("article", "main", "body", "html") and (x.element == "form" or x.hinted)
 
 
 def labels(nodes: list[Node]) -> list[int]:
-    """Tags of nodes in elements or classes that name their role and of the frames above them, -1 elsewhere."""
-    out = []
-    for x in nodes:
+    """Tags of nodes in elements or classes that name their role and of the frames above them, -1 elsewhere. Hints label what holds no named content."""
+    out, holds = [], [x.element in ("article", "main") or bool(x.names & CONTENT) for x in nodes]
+    for i in range(len(nodes) - 1, 0, -1):
+        holds[nodes[i].parent] |= holds[i]
+    for i, x in enumerate(nodes):
         above = out[x.parent] if x.parent >= 0 else -1
-        if above == 2 or is_boilerplate(x):
+        if above == 2 or is_boilerplate(x) or (is_hinted(x) and not holds[i]):
             out.append(2)
         elif above == 1 or x.element in ("article", "main") or x.names & CONTENT:
             out.append(1)
@@ -171,6 +187,8 @@ def labels(nodes: list[Node]) -> list[int]:
 TAGS = (0, 1, 2)
 #: Log potential of what is ruled out.
 NEVER = -60.0
+#: What a hint counts for boilerplate; less than an element that names the content.
+HINT = 8.0
 #: Added to what was counted: to each feature's share over its mean share, and to each tag's share of a parent's children; the root's prior.
 FEATURE_SLACK, TIE_SLACK, ROOT = 0.03, 0.01, (0.8, 0.15, 0.05)
 
@@ -199,6 +217,9 @@ class Model:
             if is_boilerplate(x):
                 own[0] += NEVER
                 own[1] += NEVER
+            elif is_hinted(x):
+                own[0] -= HINT
+                own[1] -= HINT
             belief.append(own)
         step = np.exp(self.ties).tolist()
         back = np.exp(self.ties.T).tolist()

@@ -286,3 +286,12 @@ def test_language_sample_has_different_texts(spark, monkeypatch):
     monkeypatch.setattr(langid, "fit", lambda data, labels, idf: seen.append(labels) or fit(data, labels, idf))
     langid.train(docs, sample=40)
     assert (seen[0].count("en"), seen[0].count("de")) == (40, 40)
+
+
+def test_html_names_inside_slugs(spark):
+    rows = [(i, PAGE.replace("Second", f"Second {i}")) for i in range(12)]
+    slugs = '<article><h2 id="search-methods">Methods</h2><p>Text one.</p><section id="form-and-function"><p>Text two.</p></section><h2 id="legal-history">History</h2><h3 id="notice">Notice</h3></article>'
+    rows += [(20, f"<html><body>{slugs}</body></html>"), (21, f'<html><body><nav>Menu</nav><div class="layout has-sidebar">{slugs}<div class="sidebar">Side</div></div></body></html>'), (22, f"<html><body><form><nav>Menu</nav>{slugs}</form></body></html>")]
+    pages = frame(spark, rows, "page_id bigint, html string")
+    got = {r.page_id: r.text for r in dom.extract(pages, dom.train(pages.where("page_id < 20")), keep=["page_id"]).collect()}
+    assert [got[i] for i in (20, 21, 22)] == ["Methods Text one. Text two. History Notice"] * 3
