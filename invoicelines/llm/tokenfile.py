@@ -22,14 +22,15 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, stored, table
+from .common import new_path, ship, stored, table
 
 #: Fixed values of the format: ids per word and bits per id, by selector.
 COUNTS = np.array([240, 1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -40,19 +41,25 @@ SPANS = {2: (1, 1), 3: (2, 1), 4: (2, 2), 5: (3, 2), 6: (3, 3), 7: (4, 3), 8: (4
 BLOCK_IDS = 1 << 16
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces of text whose ids a worker remembers at most.
-KNOWN_PIECES = 1_000_000
+#: Bytes of pieces and their ids that a worker remembers, about; what one piece costs besides its characters and ids.
+KNOWN_BYTES, PIECE_BYTES = 320 << 20, 200
+#: Longer pieces are not remembered; texts that hold them are encoded in parts of about so many characters.
+LONG_PIECE, WHOLE_PART = 256, 1 << 17
 
 
 def pack(ids: np.ndarray) -> bytes:
     """A block from unsigned 64-bit ids; each word takes as many ids as fit."""
     ids = np.ascontiguousarray(ids, np.uint64)
     n = len(ids)
-    smeared = ids.copy()
-    for k in (1, 2, 4, 8, 16, 32):
-        smeared |= smeared >> np.uint64(k)
+    if n and ids.max() < 1 << 53:
+        bits = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
+    else:
+        smeared = ids.copy()
+        for k in (1, 2, 4, 8, 16, 32):
+            smeared |= smeared >> np.uint64(k)
+        bits = np.bitwise_count(smeared).astype(np.uint8)
     # widest[k][i]: bits of the widest of the k ids from i on; beyond the end there are zeros
-    widest = {1: np.concatenate((np.bitwise_count(smeared).astype(np.uint8), np.zeros(240, np.uint8)))}
+    widest = {1: np.concatenate((bits, np.zeros(240, np.uint8)))}
     for k, (x, y) in SPANS.items():
         widest[k] = np.maximum(widest[x], np.append(widest[y][x:], np.zeros(x, np.uint8)))
     take, selector = np.ones(n, np.int64), np.full(n, ESCAPE, np.uint8)
@@ -99,14 +106,15 @@ def unpack(block: bytes) -> np.ndarray:
 
 
 class Encoder:
-    """Whole texts to ids; remembers the ids of pieces, at most `most` of them.
+    """Whole texts to ids; remembers the ids of pieces, in about `most` bytes.
 
     A single blank between two non-blank characters always begins a new
     pre-token of the byte-level vocabulary, so a text may be cut there and its
-    pieces encoded one by one with the same result.
+    pieces encoded one by one with the same result. Texts with other blanks, or
+    with a piece of more than LONG_PIECE characters, are encoded whole, in parts
+    that end at such cuts; nothing of them is remembered.
     """
 
-    odd = re.compile(r"[^\S ] | [^\S ]|  |^ | $")
     cut = re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, path: str, most: int) -> None:
@@ -114,6 +122,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # pieces come once, so its own memory only costs
         self.most = most
         # A byte-level token has one character for each of its bytes; special tokens are ASCII.
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -123,19 +133,17 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.lengths, self.starts, self.flat, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32), 0
+        self.lengths, self.starts, self.flat, self.used, self.bytes = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32), 0, 0
 
-    def learn(self, pieces: set[str]) -> None:
-        """Pieces are kept without the blank that they begin with; those that begin a text get one before them, which no other has."""
-        # Those without any other white space are encoded as one text and told apart by their bytes.
-        plain = [p for p in pieces if p.isprintable() and not p.startswith(" ")]
-        rest = list(pieces.difference(plain))
+    def learn(self, plain: list[str], rest: list[str]) -> None:
+        """Different pieces, without the blank that they begin with; those that begin a text have one before them, which no other has. plain: without any white space."""
+        # Plain ones are encoded as one text and told apart by their bytes.
         ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(plain)] if plain else [""], add_special_tokens=False)[0].ids, np.int64)
-        ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([1 + (len(p) if p.isascii() else len(p.encode())) for p in plain], dtype=np.int64)) + 1
-        others = [e.ids for e in self.tokenizer.encode_batch_fast([p[1:] if p.startswith(" ") else " " + p for p in rest], add_special_tokens=False)]
+        ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(1 + np.fromiter(map(len, map(str.encode, plain)), np.int64, len(plain)))) + 1
+        others = [e.ids for e in self.tokenizer.encode_batch_fast([p[1:] if p[0] == " " else " " + p for p in rest], add_special_tokens=False)]
         lengths = np.concatenate((np.diff(ends, prepend=0), np.array([len(x) for x in others], np.int64)))
         flat = np.concatenate((ids, np.array([i for x in others for i in x], np.int64)))
-        at, count = len(self.known), len(pieces)
+        at, count = len(self.known), len(lengths)
         while at + count > len(self.lengths):
             self.lengths, self.starts = np.append(self.lengths, np.zeros_like(self.lengths)), np.append(self.starts, np.zeros_like(self.starts))
         while self.used + len(flat) > len(self.flat):
@@ -143,26 +151,60 @@ class Encoder:
         self.lengths[at : at + count], self.starts[at : at + count] = lengths, self.used + np.cumsum(lengths) - lengths
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
+        self.bytes += PIECE_BYTES * count + 2 * (sum(map(len, plain)) + sum(map(len, rest))) + 4 * len(flat)
         self.known.update(zip(plain + rest, range(at, at + count), strict=True))
 
-    def pieces(self, text: str) -> list[str]:
-        cut = self.cut.split(text) if self.odd.search(text) else text.split(" ")
-        cut[0] = " " + cut[0]
-        return cut
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [self.pieces(t) if t else [] for t in texts]
-        if len(self.known) > self.most:
+    def whole(self, text: str) -> np.ndarray:
+        """Of a text that is not remembered, part by part."""
+        found, at = [np.zeros(0, np.uint32)], 0
+        while at < len(text):
+            m = self.cut.search(text, at + WHOLE_PART) if at + WHOLE_PART < len(text) else None
+            to = m.start() if m else len(text)
+            found.append(np.array(self.tokenizer.encode_batch_fast([text[at:to]], add_special_tokens=False)[0].ids, np.uint32))
+            at = to
+        return np.concatenate(found)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Of an array of strings, null for no text."""
+        if not len(texts):
+            return []
+        if self.bytes > self.most:
             self.forget()
-        if new := set().union(*cut).difference(self.known):
-            self.learn(new)
-        counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, counts.sum())
-        lengths = self.lengths[which]
+        lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        offsets = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()  # each different piece is looked up once
+        pieces, own = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        starts = (offsets - offsets[0])[:-1]
+        known = self.known
+        first = [" " + pieces[i] for i in own[starts].tolist()]
+        codes = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        odd, plain, rest, unknown = np.zeros(len(pieces), bool), [], [], np.flatnonzero(codes < 0)
+        for i in unknown.tolist():
+            p = pieces[i]
+            if not p or len(p) > LONG_PIECE:
+                odd[i] = True
+            elif p.isprintable():
+                plain.append(p)
+            elif p[0].isspace() or p[-1].isspace():
+                odd[i] = True
+            else:
+                rest.append(p)
+        slow = np.bitwise_or.reduceat(odd[own], starts)
+        rest += {p for p, s in zip(first, slow.tolist(), strict=True) if not s and p not in known}
+        if plain or rest:
+            self.learn(plain, rest)
+        codes[unknown] = [known.get(pieces[i], 0) for i in unknown.tolist()]
+        which = codes[own]
+        which[starts] = [known.get(p, 0) for p in first]
+        counts = np.diff(offsets)
+        lengths = np.where(np.repeat(slow, counts), 0, self.lengths[which])
         ends = np.cumsum(lengths)
         gaps = np.repeat(self.starts[which] - (ends - lengths), lengths)
         flat = self.flat[gaps + np.arange(len(gaps))]
-        return np.split(flat, np.concatenate(([0], ends))[np.cumsum(counts)[:-1]]) if len(cut) else []
+        out = np.split(flat, np.concatenate(([0], ends))[np.cumsum(counts)[:-1]])
+        for i in np.flatnonzero(slow).tolist():
+            out[i] = self.whole(texts[i].as_py() or "")
+        return out
 
 
 @lru_cache(1)
@@ -171,11 +213,11 @@ def encoder(path: str, most: int) -> Encoder:
     return Encoder(path, most)
 
 
-def _groups(texts: list[str | None], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about `most` characters."""
+def _groups(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about `most` bytes."""
     at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        size += n
         if size >= most:
             yield at, i + 1
             at, size = i + 1, 0
@@ -183,22 +225,23 @@ def _groups(texts: list[str | None], most: int = 1 << 19) -> Iterator[tuple[int,
         yield at, len(texts)
 
 
-def write_token_file(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int | None = END_ID, block_ids: int = BLOCK_IDS, known_pieces: int = KNOWN_PIECES) -> None:
+def write_token_file(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int | None = END_ID, block_ids: int = BLOCK_IDS, known_bytes: int = KNOWN_BYTES) -> None:
     """Encodes every whole text and writes the token file, documents in ascending id order.
 
     Null and empty texts have no ids but the end id. Rows with a null id come
-    first; rows with the same id are ordered by the text's hash. vocabulary: a
-    tokenizer file's path, by default the public byte-level vocabulary, looked
-    up where the task runs; known_pieces: how many pieces a worker remembers,
-    about 250 bytes each. Other columns are not read. An empty table gives a
-    file without blocks.
+    first; rows with the same id are ordered by the text's hash, and dealt by it
+    too, so that a frequent id is not one task. vocabulary: a tokenizer file's
+    path, by default the public byte-level vocabulary, looked up where the task
+    runs; known_bytes: what a worker remembers of pieces. Other columns are not
+    read. An empty table gives a file without blocks.
     """
     spark = docs.sparkSession
+    ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        encode = encoder(vocabulary or public_tokenizers.path(VOCABULARY), known_pieces).encode
+        encode = encoder(vocabulary or public_tokenizers.path(VOCABULARY), known_bytes).encode
         ids, lengths, held, size, block = [], [], [], 0, 0
 
         def out() -> pa.RecordBatch:
@@ -210,8 +253,7 @@ def write_token_file(docs: DataFrame, path: str, id_col: str = "doc_id", text: s
             if not b.num_rows:
                 continue
             part = b.column(0)[0].as_py()
-            texts = b.column(2).to_pylist()
-            keys = b.column(1).to_pylist()
+            texts, keys = b.column(2), b.column(1).to_pylist()
             for s, e in _groups(texts):
                 for key, found in zip(keys[s:e], encode(texts[s:e]), strict=True):
                     if end_id is not None:
@@ -229,8 +271,8 @@ def write_token_file(docs: DataFrame, path: str, id_col: str = "doc_id", text: s
     names = ["part", "block", "doc_ids", "lengths", "payload"]
     schema = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
-    rows = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", F.xxhash64("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = rows.repartitionByRange(parts, "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
     rows = rows.select(F.spark_partition_id().alias("part"), "id", "text")
     rows.mapInArrow(run, "part int, block bigint, doc_ids array<bigint>, lengths array<bigint>, payload binary").write.parquet(path)
 

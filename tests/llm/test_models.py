@@ -148,7 +148,7 @@ def test_token_file(spark, tmp_path):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = [*ODD, " a  b\n c ", "it's  é \t q", "a\x1c b", " \n x", "\0  y", "tail ", "a　 b", "no id"]
+    texts = [*ODD, " a  b\n c ", "it's  é \t q", "a\x1c b", " \n x", "\0  y", "tail ", "a　 b", "<|endoftext|> x<|endoftext|>y", "汉字" * 300 + " 汉字，语言", "汉" * 5000, "y" * 1_000_000, "ab " * 3000 + " odd  end", "no id"]
     docs = frame(spark, [(None if t == "no id" else 100 - i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
     path = f"{tmp_path}/tokens"
     got = {r.doc_id: r for r in tokenfile.token_output(docs, path, block_ids=50).collect()}
@@ -159,6 +159,8 @@ def test_token_file(spark, tmp_path):
         assert (got[key].start, got[key].n_tokens, got[key].ids_crc32) == (start, len(expected), zlib.crc32(np.array(expected, "<u4").tobytes())), t
         assert ids[key].ids == expected
         start += len(expected)
+    few = {r.doc_id: r.ids_crc32 for r in tokenfile.token_output(docs, f"{tmp_path}/few", known_bytes=1).collect()}
+    assert few == {k: r.ids_crc32 for k, r in got.items()}
     assert tokenfile.token_output(docs.limit(0), f"{tmp_path}/none").count() == 0
     assert tokenfile.token_output(docs.union(docs), f"{tmp_path}/twice").count() == 2 * len(texts)
 
