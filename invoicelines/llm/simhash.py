@@ -18,10 +18,13 @@ Long lists give the edges of a spanning forest, not all pairs.
 Three of 64 bits hold only nearly equal texts. near_dedup() finds texts by the
 similarity of their sets of shingles. Equal sets are one node. Fingerprints of WORDS
 words, over distinct shingles, only propose pairs: a similarity s leaves a share
-acos(2 s / (1 + s)) / pi of the bits different, pairs up to four standard deviations
-above it are looked at if they agree in one of KEYS drawn sets of 16 bits (in
-simulation 0.997 of pairs of similarity 0.8 and 0.9998 of 0.85). What is proposed is
-verified on the shingles themselves before it links.
+acos(2 s / (1 + s)) / pi of the bits different. The bits are shuffled a few times
+and cut into bytes again; each KEY_BITS bits in a row (three bytes) are a posting key,
+KEYS in all. Pairs that share one of them and differ in no more bits than four standard
+deviations above that share are verified on the shingles themselves before they link.
+In simulation a pair of similarity 0.8 shares a key with a chance of 0.94, 0.85: 0.99.
+A list of unrelated texts holds one in 2**KEY_BITS of them; where there are so many
+texts that this is long, longer keys and more of them are the parameters.
 """
 
 from __future__ import annotations
@@ -36,16 +39,18 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, ship, stored, table
+from .common import components, drop_stored, ship, stored, table
 
 BLOCK = 2048
 #: Of near_dedup(): similarity of shingle sets and length of fingerprints.
-SIMILARITY, WORDS = 0.8, 4
+SIMILARITY, WORDS = 0.8, 8
 #: Posting keys of long fingerprints, and bits in each.
-KEYS, KEY_BITS = 128, 16
+KEYS, KEY_BITS = 192, 24
 #: Shorter lists are compared many at once; a list with more pairs than SPARSE times its members gives one pair a member at first.
 FEW, SPARSE = 64, 2
 BYTES = [0xFF << (8 * i) for i in range(8)]
+#: For each value of a byte, a byte for each of its bits, as one number.
+LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 HALVES = [c for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for c in combinations(half, 3)]
 
 
@@ -81,13 +86,15 @@ def _bits(parts: Iterator[np.ndarray], words: int) -> tuple[int, ...]:
     total, n = np.zeros((words, 64), np.int64), 0
     for h in parts:
         n += len(h)
-        for k in range(words):
+        for k in range(words if len(h) else 0):
             if k:  # further hashes of the shingle from its first
                 h = (h + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(32)
                 h *= np.uint64(0xD6E8FEB86659FD93)
                 h ^= h >> np.uint64(32)
-            total[k] += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            # Sums of 255 hashes at a time fit into the bytes of a number.
+            lanes = LANES[h.astype(">u8").view(np.uint8).reshape(-1, 8)]
+            total[k] += np.add.reduceat(lanes, np.arange(0, len(h), 255), axis=0).view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
     return tuple(int.from_bytes(np.packbits(2 * t > n).tobytes(), "big") for t in total)
 
 
@@ -255,10 +262,22 @@ def _masks(words: int) -> list[list[int]]:
 
 
 def _keyed(nodes: DataFrame, names: list[str]) -> DataFrame:
-    """key, fp, the words: a posting of each node under each key."""
+    """key, fp: a posting of each node under each key."""
     masks = F.array(*[F.struct(F.lit(j).alias("slot"), *[F.lit(m).cast("bigint").alias(c) for c, m in zip(names, ms, strict=True)]) for j, ms in enumerate(_masks(len(names)))])
     key = F.xxhash64("p.slot", *[F.col(c).bitwiseAND(F.col(f"p.{c}")) for c in names])
-    return nodes.select("fp", *names, F.explode(masks).alias("p")).select(key.alias("key"), "fp", *names)
+    return nodes.select("fp", *names, F.explode(masks).alias("p")).select(key.alias("key"), "fp")
+
+
+def _several(postings: DataFrame, block: int) -> DataFrame:
+    """key, fp, long: the postings of lists of two or more; long: of more than `block`."""
+    slots = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, ids), starts, long in _lists(batches, block):
+            kept = np.repeat(np.diff(starts) > 1, np.diff(starts)) | long
+            yield pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array(ids[kept]), pa.array(np.full(int(kept.sum()), long))], names=["key", "fp", "long"])
+
+    return postings.repartition(slots, "key").sortWithinPartitions("key").mapInArrow(run, "key bigint, fp bigint, long boolean")
 
 
 def _lists(batches: Iterator[pa.RecordBatch], block: int | None) -> Iterator[tuple[list[np.ndarray], np.ndarray, bool]]:
@@ -324,17 +343,14 @@ def _rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
 
 
-def _proposed(postings: DataFrame, by: list[str], bits: int, block: int | None) -> DataFrame:
-    """Of lists (rows of equal columns `by`, the first being the key): kind 0, pairs (a, b); of lists whose pairs are not all there kind 1, of lists longer than `block`, without pairs, kind 2: (key, fp)."""
+def _proposed(postings: DataFrame, by: list[str], bits: int) -> DataFrame:
+    """Of lists (rows of equal columns `by`, the first being the key): kind 0, pairs (a, b); of lists whose pairs are not all there kind 1, (key, fp)."""
     slots = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = [c for c in postings.columns if c not in (*by, "fp")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns, starts, long in _lists(batches, block):
+        for columns, starts, _ in _lists(batches, None):
             key, ids = columns[:2]
-            if long:
-                yield _rows(2, key, ids)
-                continue
             sizes, owner = np.diff(starts), np.repeat(np.arange(len(starts) - 1), np.diff(starts))
             dense = np.zeros(len(sizes), bool)
             for i, j in _pairs(np.stack(columns[2:], axis=1).view(np.uint64), starts, bits):
@@ -407,16 +423,18 @@ def near_components(nodes: DataFrame, texts: DataFrame, similarity: float, shing
     links found before already connect. Lists longer than `block` are dealt in blocks
     that share their first member, then what is not connected is compared across.
     """
-    bits, names = allowed_bits(similarity, words), [f"f{k}" for k in range(words)]
-    found, _ = stored(_proposed(_keyed(nodes, names), ["key"], bits, block), "simhash")
-    edges, lists = found.where("kind = 0").select("a", "b"), found.where("kind > 0").select(F.col("a").alias("key"), F.col("b").alias("fp"))
-    long = found.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("fp"))
+    bits, names, spark = allowed_bits(similarity, words), [f"f{k}" for k in range(words)], nodes.sparkSession
+    shared, shared_at = stored(_several(_keyed(nodes, names), block), "simhash")
+    with_words = nodes.select("fp", *names)
+    found, _ = stored(_proposed(shared.where("NOT long").select("key", "fp").join(with_words, "fp").select("key", "fp", *names), ["key"], bits), "simhash")
+    edges, lists = found.where("kind = 0").select("a", "b"), found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"))
+    long = shared.where("long").select("key", "fp")
     if not long.isEmpty():
         sizes = long.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("wide"), F.min("fp").alias("hub"))
         own = F.array(F.pmod(F.xxhash64("fp"), F.col("wide")).cast("int"))
         dealt = long.join(sizes, "key").withColumn("x", F.explode(F.when(F.col("fp") == F.col("hub"), F.sequence(F.lit(0), F.col("wide") - 1)).otherwise(own)))
-        more, _ = stored(_proposed(dealt.join(nodes.select("fp", *names), "fp").select("key", "x", "fp", *names), ["key", "x"], bits, None), "simhash")
-        edges = edges.union(more.where("kind = 0").select("a", "b"))
+        more, _ = stored(_proposed(dealt.join(with_words, "fp").select("key", "x", "fp", *names), ["key", "x"], bits), "simhash")
+        edges, lists = edges.union(more.where("kind = 0").select("a", "b")), lists.union(long)
     edges, _ = stored(edges.distinct(), "simhash")
     first, _ = stored(edges.groupBy("a").agg(F.min("b").alias("b")), "simhash")
     links, _ = stored(verified(first, nodes, texts, similarity, shingle), "simhash")
@@ -429,6 +447,7 @@ def near_components(nodes: DataFrame, texts: DataFrame, similarity: float, shing
             continue
         links, _ = stored(links.union(verified(tried, nodes, texts, similarity, shingle)), "simhash")
         first = first.union(tried)
+    drop_stored(spark, shared_at)
     return components(links)
 
 
@@ -460,15 +479,17 @@ def _least(nodes: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = 5, words: int = WORDS, block: int = BLOCK) -> DataFrame:
-    """`docs` with one document of each group of similar ones, the one of the smallest id.
-
-    Documents whose sets of shingles have the similarity or more are similar, and
-    what they connect is a group. Texts without words are one group.
-    A repeated id is one document: one of its rows stays (ties by the text's
-    hash). Rows with a null id always stay. Columns are as in `docs`.
+    """`docs` with one row of each group of similar texts.
+
+    Texts whose sets of shingles have the similarity or more are similar, and what
+    they connect is a group. Texts without words, null ones too, are one group. Of a
+    group the row of the smallest id stays (null ids last, ties by the text's
+    hash, then by the row's). Rows are judged one by one, so a repeated id may
+    stay with different texts. Columns are as in `docs`, whatever their names; an
+    empty table gives an empty result.
     """
     ship(docs.sparkSession)
-    names = [f"f{k}" for k in range(words)]
+    spark, names = docs.sparkSession, [f"f{k}" for k in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -476,16 +497,20 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", simi
             f = np.array([_bits(iter((x,)), words) for x in sets], np.uint64).reshape(len(sets), words).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_number(x) for x in sets], pa.int64()), *map(pa.array, np.ascontiguousarray(f.T))], names=["id", "body", "fp", *names])
 
-    id_, body = F.col(f"`{id_col}`"), F.col(f"`{text}`")
-    fields = [f"id {docs.select(id_).schema[0].dataType.simpleString()}", "body bigint", "fp bigint", *[f"{c} bigint" for c in names]]
-    marked, _ = stored(docs.select(id_.alias("id"), F.xxhash64(body).alias("body"), body.alias("text")).mapInArrow(run, ", ".join(fields)), "simhash")
-    nodes, _ = stored(marked.groupBy("fp").agg(F.min("id").alias("least"), F.min("body").alias("body"), *[F.first(c).alias(c) for c in names]), "simhash")
-    found = near_components(nodes, docs.select(body.alias("text")), similarity, shingle, words, block)
-    kept = _least(nodes, found).where("component_id IS NOT NULL").select(F.col("component_id").alias("_kept_id")).distinct()
-    rows = docs.join(kept, id_ == F.col("_kept_id"), "left_semi")
-    order = Window.partitionBy(id_).orderBy(F.xxhash64(body))
-    rows = rows.withColumn("_row_no", F.row_number().over(order)).where("_row_no = 1").drop("_row_no")
-    return rows.unionByName(docs.where(id_.isNull()))
+    plain = [f"c{i}" for i in range(len(docs.columns))]  # none can clash with what is computed here
+    rows = docs.toDF(*plain)
+    id_, body = F.col(plain[docs.columns.index(id_col)]), F.col(plain[docs.columns.index(text)]).cast("string")
+    fields = [f"id {rows.select(id_).schema[0].dataType.simpleString()}", "body bigint", "fp bigint", *[f"{c} bigint" for c in names]]
+    marked, marked_at = stored(rows.select(id_.alias("id"), F.xxhash64(body).alias("body"), body.alias("text")).mapInArrow(run, ", ".join(fields)), "simhash")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "body"))
+    nodes, _ = stored(marked.groupBy("fp").agg(least.alias("least"), F.min("body").alias("body"), *[F.first(c).alias(c) for c in names]), "simhash")
+    drop_stored(spark, marked_at)
+    found = near_components(nodes, rows.select(body.alias("text")), similarity, shingle, words, block)
+    kept = _least(nodes, found).select("component_id.id", "component_id.body").distinct().toDF("kept_id", "kept_body")
+    hashed = F.xxhash64(*[c for c, f in zip(plain, docs.schema.fields, strict=True) if "map<" not in f.dataType.simpleString()])
+    picked = rows.withColumns({"body": F.xxhash64(body), "tie": hashed}).join(kept, id_.eqNullSafe(F.col("kept_id")) & (F.col("body") == F.col("kept_body")), "left_semi")
+    only = Window.partitionBy(id_, "body").orderBy("tie")
+    return picked.withColumn("place", F.row_number().over(only)).where("place = 1").select(*plain).toDF(*docs.columns)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

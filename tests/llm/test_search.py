@@ -114,6 +114,8 @@ def test_near_dedup(spark):
     ids = sorted((-1 if r.doc_id is None else r.doc_id) for r in kept.collect())
     assert ids == [-1, 0, *range(len(near), len(near) + len(far) + 1)]
     assert simhash.near_dedup(docs.union(docs.where("doc_id = 25"))).where("doc_id = 25").count() == 1
+    twice = spark.createDataFrame([(1, "a b c d e f", "x"), (1, "g h i j k l", "x"), (1, "g h i j k l", "x"), (None, "a b c d e f", "x"), (None, "m n o p q r", "x")], "doc_id bigint, text string, _row_no string")
+    assert sorted((str(r.doc_id), r.text[0]) for r in simhash.near_dedup(twice).collect()) == [("1", "a"), ("1", "g"), ("None", "m")]
     assert simhash.near_dedup(docs.limit(0)).count() == 0
 
 
@@ -258,3 +260,23 @@ def test_near_dedup_by_true_similarity(spark, block):
     kept = sorted(r.doc_id for r in simhash.near_dedup(docs_of(spark, texts), block=block).collect())
     missed, false = set(kept) - set(by_hand), set(by_hand) - set(kept)
     assert not false and len(missed) <= 1
+
+
+def test_rows_of_a_near_group_are_linear(spark):
+    """A group of near copies proposes at most SPARSE pairs for each posting, in any list."""
+    rng = random.Random(7)
+    base, n = random_words(rng, 300, 10**6), 700
+    texts = []
+    for _ in range(n):
+        w = base.copy()
+        w[rng.randrange(300)] = "changed"
+        texts.append(" ".join(w))
+    names = [f"f{k}" for k in range(simhash.WORDS)]
+    sets = [simhash.shingle_set(t.encode(), 5) for t in texts]
+    rows = {simhash._number(x): (simhash._number(x), *[simhash._signed(v) for v in simhash._bits(iter((x,)), simhash.WORDS)]) for x in sets}
+    nodes = spark.createDataFrame(list(rows.values()), ", ".join(f"{c} bigint" for c in ["fp", *names]))
+    several = simhash._several(simhash._keyed(nodes, names), 64).cache()
+    postings = several.count()
+    assert postings <= simhash.KEYS * len(rows) and {r.long for r in several.select("long").distinct().collect()} == {True, False}
+    found = simhash._proposed(several.select("key", "fp").join(nodes, "fp").select("key", "fp", *names), ["key"], simhash.allowed_bits(0.8, simhash.WORDS))
+    assert found.where("kind = 0").count() <= simhash.SPARSE * postings
