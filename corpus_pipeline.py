@@ -44,7 +44,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: the token file of all rows; a row for each of them, read back from it."""
     ship(spark)
-    return token_output(docs, known_pieces=200_000)  # the workers also hold what earlier stages left
+    return token_output(docs, known_bytes=64 << 20)  # the workers also hold what earlier stages left
 
 
 STAGES = [("toxicity", toxicity), ("simhash near-dedup", simhash_near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("token-ID output", token_ids)]
