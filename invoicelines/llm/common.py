@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,16 +41,37 @@ def fold(key: Column, folds: int) -> Column:
 def work_folder(spark: SparkSession) -> str:
     """The folder that the cluster shares for working tables.
 
-    It is spark.checkpoint.dir; only where the session does not name one (tests
-    on one machine) a temporary folder is made and put into the session.
+    It is spark.checkpoint.dir; only where the session does not name one and runs
+    on one machine (tests) a temporary folder is made and put into the session.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def computed_beside(docs: DataFrame, read: str, keep: list[str] | None, new: dict[str, str], run: Callable) -> DataFrame:
+    """The columns `keep` (default all) and the new ones (name: type), computed by run(batches, kept).
+
+    A batch's first `kept` columns are to be passed on as they are, the next is
+    the column `read`. A kept column of a new one's name gives way to it.
+    """
+    taken = {c.lower() for c in new}
+    kept = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in taken]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.col(f"`{read}`").cast("string").alias("read"))
+    fields = [*[f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rows.schema.fields[:-1])], *[f"n{i} {t}" for i, t in enumerate(new.values())]]
+    names, n = [f.split(" ")[0] for f in fields], len(kept)
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in run(batches, n):
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return rows.mapInArrow(renamed, ", ".join(fields)).toDF(*kept, *new)
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{work_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 

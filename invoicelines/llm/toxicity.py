@@ -13,12 +13,13 @@ A document's score is a logistic function, fitted to the sample's labels, of wha
 its tokens' marginals add up to. Spans of tokens with marginals of a half or more
 are the offending offsets.
 
-Fitting takes a bounded sample of labelled rows (SAMPLE per label); everything
-else streams over all rows, whole texts, without a shuffle.
+Fitting takes a bounded sample of labelled rows (SAMPLE and SAMPLE_BYTES per label)
+in one task; everything else streams over all rows, whole texts, without a shuffle.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,14 +27,19 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import computed_beside, fold, ship, table
 
 #: Most documents of each label that the field is fitted to.
 SAMPLE = {1: 1000, 0: 2500}
+#: Most bytes of the texts of each label; texts are taken in the order of their ids' hashes as long as they fit.
+SAMPLE_BYTES = {1: 4 << 20, 0: 8 << 20}
 CUT = 0.7
+#: Longer words are told apart by a hash, and are not remembered.
+LONG = 40
 WORD = re.compile(r"\w+")
 HEADS, TAILS = range(2, 9), range(2, 5)
 #: Forward-backward runs over this many tokens at a time, whole documents.
@@ -43,7 +49,8 @@ CHUNK = 1 << 18
 def features(word: str) -> list[str]:
     """What a token's emission is made of; ^ marks a beginning, $ an ending, = the whole form."""
     w = word.lower()
-    return ["=" + w[:40], *["^" + w[:k] for k in HEADS if k <= len(w)], *["$" + w[-k:] for k in TAILS if k <= len(w)]]
+    whole = w if len(w) <= LONG else f"{w[:LONG]}#{xxhash.xxh64_hexdigest(w)}"
+    return ["=" + whole, *["^" + w[:k] for k in HEADS if k <= len(w)], *["$" + w[-k:] for k in TAILS if k <= len(w)]]
 
 
 @dataclass
@@ -185,11 +192,13 @@ def fit(texts: list[str], labels: np.ndarray, share: float, rounds: int = 40) ->
     inner = np.concatenate(([0], tokens, [0])).astype(np.int64)
     around = (inner[:-2] * 1_000_003 + inner[2:]) * 1_000_003 + tokens
     _, once = np.unique(around * 2 + labels[owner], return_index=True)
-    names: dict[str, int] = {}
-    lists = [[names.setdefault(f, len(names)) for f in features(w)] for w in number]
-    of_word = np.repeat(np.arange(len(number)), [len(x) for x in lists])
-    of_feature = np.fromiter(chain.from_iterable(lists), np.int64, len(of_word))
-    del lists
+    # Features by their hashes; only the names of those that get a weight are made again.
+    sizes_of = np.fromiter((1 + min(len(HEADS), max(0, len(w) - 1)) + min(len(TAILS), max(0, len(w) - 1)) for w in number), np.int64, len(number))
+    of_word = np.repeat(np.arange(len(number)), sizes_of)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(f) for w in number for f in features(w)), np.uint64, len(of_word))
+    tails = np.fromiter((f[0] == "$" for w in number for f in features(w)), bool, len(of_word))
+    names, some, of_feature = np.unique(hashes, return_index=True, return_inverse=True)
+    del hashes
     by_word = [np.bincount(tokens[once[labels[owner[once]] == c]], minlength=len(number)) for c in (0, 1)]
     by_feature = [np.bincount(of_feature, by_word[c][of_word], len(names)) for c in (0, 1)]
     n = [max(1, int((labels == c).sum())) for c in (0, 1)]
@@ -197,7 +206,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float, rounds: int = 40) ->
     more = np.log((by_feature[1] + 0.5) / total[1]) - np.log((by_feature[0] + 1.0) / total[0])
     # Rare enough for chance: so many of a feature's occurrences in toxic documents alone.
     least = max(3.0, np.log(1e5) / np.log(sum(total) / total[1]))
-    label_names = np.array([f[0] != "$" for f in names])
+    label_names = ~tails[some]
     strong = (by_feature[1] >= least) & (more > np.log(12)) & label_names
     cue = np.bincount(of_word, strong[of_feature], len(number)) > 0
     tags = cue[tokens] & (labels[owner] == 1)
@@ -206,6 +215,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float, rounds: int = 40) ->
     place = np.full(len(names), -1)
     place[used] = np.arange(len(used))
     keep = place[of_feature] >= 0
+    word_of = of_word
     of_word, of_feature = of_word[keep], place[of_feature[keep]]
     first = np.zeros(len(tokens), bool)
     starts = np.cumsum(sizes) - sizes
@@ -242,18 +252,26 @@ def fit(texts: list[str], labels: np.ndarray, share: float, rounds: int = 40) ->
         return (x * (weight * (labels - p))[:, None]).mean(axis=0) - 1e-4 * w
 
     w = _ascend(np.zeros(4), slope, 1500, 0.05)
-    every = list(names)
-    weights = {every[f]: float(t) for f, t in zip(used.tolist(), theta[:k].tolist(), strict=True) if abs(t) > 0.02}
+    every, first_of = list(number), np.cumsum(sizes_of) - sizes_of
+    weights = {}
+    for f, t in zip(used.tolist(), theta[:k].tolist(), strict=True):
+        if abs(t) > 0.02:
+            of = int(word_of[some[f]])
+            weights[features(every[of])[int(some[f] - first_of[of])]] = float(t)
     return Model(weights, float(theta[k]), tuple(theta[k + 1 :].tolist()), tuple(w.tolist()))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, held_out: int = 1, sample: dict[int, int] | None = None) -> Model:
     """Learns from rows whose id's crc32 modulo `folds` is not `held_out`.
 
-    The sample: of each label the `sample` ids with the least hashes. Labels of
-    null ids and null labels are left out; an id with several labels has the
-    greatest. Without both labels the model is a constant.
+    The sample: of each label the `sample` ids with the least hashes, and of their
+    texts, in that order, those that fit into SAMPLE_BYTES, none longer than a
+    sixteenth of that. Labels of null ids and
+    null labels are left out; an id with several labels has the greatest, one with
+    several texts the text of the least hash. Without both labels the model is a
+    constant.
     """
+    ship(docs.sparkSession)
     marks = labels.select(F.col(f"`{id_col}`").alias("m_id"), F.col(f"`{label}`").cast("int").alias("mark")).where("m_id IS NOT NULL AND mark IN (0, 1)").where(fold(F.col("m_id"), folds) != held_out)
     marks = marks.groupBy("m_id").agg(F.max("mark").alias("mark"))
     counts = dict(marks.groupBy("mark").count().collect())
@@ -262,35 +280,48 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     for c, most in (sample or SAMPLE).items():
         part = marks.where(F.col("mark") == c).orderBy(order, "m_id").limit(most)
         chosen = part if chosen is None else chosen.union(part)
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("body")).join(F.broadcast(chosen), F.col("id") == F.col("m_id")).select("m_id", "body", "mark")
-    found = rows.dropDuplicates(["m_id"]).toArrow().sort_by("m_id")  # one row per chosen id
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body")).join(F.broadcast(chosen), F.col("id") == F.col("m_id")).select("m_id", "body", "mark", F.xxhash64("body").alias("tie"))
+    rows = rows.groupBy("m_id").agg(F.min_by("body", "tie").alias("body"), F.first("mark").alias("mark"))  # one row per chosen id
+    so_far = F.sum(F.octet_length("body")).over(Window.partitionBy("mark").orderBy(order, "m_id"))  # at most `sample` rows each
+    most = F.element_at(F.create_map(*[F.lit(x) for pair in SAMPLE_BYTES.items() for x in pair]), F.col("mark"))
+    found = rows.where(F.octet_length("body") <= most / 16).withColumn("so_far", so_far).where(F.col("so_far") <= most).select("m_id", "body", "mark")
     total = sum(counts.values())
-    return fit(found.column("body").to_pylist(), np.array(found.column("mark").to_pylist(), int), counts.get(1, 0) / total if total else 0.0)
+    share = counts.get(1, 0) / total if total else 0.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = sorted(chain.from_iterable(zip(*b.to_pydict().values(), strict=True) for b in batches))
+        model = fit([t for _, t, _ in texts], np.array([m for _, _, m in texts], int), share)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # The sample is bounded, so one task fits it; the driver gets the model alone.
+    rows = found.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(rows[0][0]) if rows else Model(constant=share)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, spans: bool = True, cut: float = CUT) -> DataFrame:
     """The columns `keep` (default all), score, predicted and, if asked for, spans: (start, end, marginal) character offsets of runs of toxic tokens.
 
-    Null and empty texts have no tokens and get the score of such a text. Other
-    columns of `docs` may have any names but score, predicted and spans.
+    Null and empty texts have no tokens and get the score of such a text. A column
+    of `docs` that is named score, predicted or spans gives way to the new one.
     """
-    keep = keep if keep is not None else docs.columns
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], kept: int) -> Iterator[list]:
         model = shared.value
-        known: dict[str, float] = {}
 
         class Emissions(dict):
             def __missing__(self, word: str) -> float:
-                if len(self) > 200_000:
-                    self.clear()
-                self[word] = out = model.emission(word)
+                out = model.emission(word)
+                if len(word) <= LONG:
+                    if len(self) > 200_000:
+                        self.clear()
+                    self[word] = out
                 return out
 
         known = Emissions()
         for b in batches:
-            texts = b.column(len(keep)).to_pylist()
+            texts = b.column(kept).to_pylist()
             scores, found = np.full(len(texts), model.constant), [[] for _ in texts]
             if model.document:
                 for s, e in _chunks([len(t or "") // 6 for t in texts]):
@@ -312,19 +343,13 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
                                         last["end"], last["marginal"] = m.end(), max(last["marginal"], q)
                                     else:
                                         found[s + d].append({"start": m.start(), "end": m.end(), "marginal": q})
-            columns = [*b.columns[: len(keep)], pa.array(scores), pa.array((scores >= cut).astype(np.int32))]
-            names = [*b.schema.names[: len(keep)], "score", "predicted"]
+            columns = [*b.columns[:kept], pa.array(scores), pa.array((scores >= cut).astype(np.int32))]
             if spans:
                 columns.append(pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))))
-                names.append("spans")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
-    fields = [*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields], "score double", "predicted int"]
-    if spans:
-        fields.append("spans array<struct<start: int, end: int, marginal: double>>")
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_scored_text"))
-    return rows.mapInArrow(run, ", ".join(fields))
+            yield columns
+
+    new = {"score": "double", "predicted": "int"} | ({"spans": "array<struct<start: int, end: int, marginal: double>>"} if spans else {})
+    return computed_beside(docs, text, keep, new, run)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", **kw) -> DataFrame:
