@@ -10,27 +10,27 @@ a temperature is then fitted to a part of the sample that was kept out.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import computed_beside, fold, ship, table
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
 #: Most learning documents of each language; one in five calibrates.
 SAMPLE = 1200
 UNKNOWN = "und"
-#: Follow-the-regularised-leader: rate, smoothing, L1 and L2 penalties, rounds over the sample.
-RATE, SMOOTH, L1, L2, ROUNDS = 1.0, 1.0, 0.2, 0.5, 3
-NOT_LETTERS = re.compile(r"[\W\d_]+")
-#: The same for Spark: what NOT_LETTERS leaves, and characters newer than Java's tables.
-LETTER = r"[\p{L}\p{Nl}\p{No}\p{Cn}]"
+#: Follow-the-regularised-leader: rate, smoothing, L1 and L2 penalties, rounds over the sample; the bias's rate.
+RATE, SMOOTH, L1, L2, ROUNDS, BIAS_RATE = 1.0, 1.0, 0.2, 0.5, 3, 0.1
+NOT_LETTERS = regex.compile(r"\P{L}+")
+#: The same for Spark: letters, and characters newer than Java's tables.
+LETTER = r"[\p{L}\p{Cn}]"
 
 
 def buckets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,20 +110,23 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], idf: np.nd
         data.append((bucket, v / length if length else v))
     order = np.random.default_rng(3).permutation(len(data))
     kept_out, learn = order[: len(data) // 5], order[len(data) // 5 :]
-    # The last row of z and n is the bias's, which has no penalty.
     z, n = np.zeros((BUCKETS, len(languages))), np.zeros((BUCKETS, len(languages)))
+    # The bias's own, without penalties.
+    z0, n0 = np.zeros(len(languages)), np.zeros(len(languages))
     for _ in range(ROUNDS):
         for i in learn.tolist():
             b, v = data[i]
             zb, nb = z[b], n[b]
             w = np.where(np.abs(zb) > L1, -(zb - np.sign(zb) * L1) / ((SMOOTH + np.sqrt(nb)) / RATE + L2), 0.0)
-            p = softmax((v @ w + model.bias)[None])[0]
+            bias = -z0 / ((SMOOTH + np.sqrt(n0)) / BIAS_RATE)
+            p = softmax((v @ w + bias)[None])[0]
             p[y[i]] -= 1.0
             g = v[:, None] * p
             grown = nb + g * g
             z[b] = zb + g - (np.sqrt(grown) - np.sqrt(nb)) / RATE * w
             n[b] = grown
-            model.bias -= 0.01 * p
+            z0, n0 = z0 + p - (np.sqrt(n0 + p * p) - np.sqrt(n0)) / BIAS_RATE * bias, n0 + p * p
+    model.bias = -z0 / ((SMOOTH + np.sqrt(n0)) / BIAS_RATE)
     model.weights = np.where(np.abs(z) > L1, -(z - np.sign(z) * L1) / ((SMOOTH + np.sqrt(n)) / RATE + L2), 0.0)
     held = kept_out if len(kept_out) else learn
     logits = np.stack([data[i][1] @ model.weights[data[i][0]] + model.bias for i in held.tolist()])
@@ -142,6 +145,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     The sample: of each language the `sample` different texts with a letter that
     have the least hashes. Copies and texts without a letter take no place.
     """
+    ship(docs.sparkSession)
     rows = docs.where(fold(F.col(f"`{id_col}`"), folds) != held_out).where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
     rows = rows.select(F.col(f"`{text}`").alias("body"), F.col(f"`{lang}`").alias("lang"), F.xxhash64(F.col(f"`{text}`")).alias("order"))
 
@@ -169,10 +173,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(0).to_pylist()
-            doc, bucket, count = buckets(texts)
-            cuts = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.astype(np.int32))) for x in (bucket, count)]
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), *lists], names=["lang", "order", "buckets", "counts"])
+            for at, to in _groups(texts):
+                doc, bucket, count = buckets(texts[at:to])
+                cuts = np.searchsorted(doc, np.arange(to - at + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.astype(np.int32))) for x in (bucket, count)]
+                yield pa.RecordBatch.from_arrays([b.column(1)[at:to], b.column(2)[at:to], *lists], names=["lang", "order", "buckets", "counts"])
 
     picked = rows.join(F.broadcast(chosen), ["lang", "order"]).dropDuplicates(["lang", "order"]).select("body", "lang", "order")
     found = picked.mapInArrow(grams, "lang string, order bigint, buckets array<int>, counts array<int>").toArrow().sort_by([("lang", "ascending"), ("order", "ascending")])
@@ -197,25 +202,23 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     """The columns `keep` (default all), lang_pred and score; one row per row of `docs`.
 
     Null texts and texts without a letter get UNKNOWN and 0. Only the text is
-    looked at. Other columns may have any names but lang_pred and score.
+    looked at. A column named lang_pred or score gives way to the new one.
     """
-    keep = keep if keep is not None else docs.columns
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], kept: int) -> Iterator[list]:
         model = shared.value
         for b in batches:
-            texts = b.column(len(keep)).to_pylist()
+            texts = b.column(kept).to_pylist()
             langs, scores = [], [np.zeros(0)]
             for at, to in _groups(texts):
                 x, s = model.predict(texts[at:to])
                 langs += x
                 scores.append(s)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], names=[*b.schema.names[: len(keep)], "lang_pred", "score"])
+            yield [*b.columns[:kept], pa.array(langs, pa.string()), pa.array(np.concatenate(scores))]
 
-    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
-    fields = [*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields], "lang_pred string", "score double"]
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_read_text")).mapInArrow(run, ", ".join(fields))
+    return computed_beside(docs, text, keep, {"lang_pred": "string", "score": "double"}, run)
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
