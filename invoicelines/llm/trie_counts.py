@@ -10,8 +10,8 @@ bytes are pieces, so every pre-token has a segmentation.
 The distinct pre-tokens of a batch of texts form a trie. Walking it in byte order,
 a node's forward score, the best score of the bytes down to it, and the count of
 pieces that reach it are computed once, however many pre-tokens share the prefix; a
-terminal's count is its pre-token's. Counts are remembered by the task, at most
-KNOWN of them. Nothing is shuffled.
+terminal's count is its pre-token's. Counts are remembered by the task, in about
+KNOWN_BYTES. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -27,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import computed_beside, ship, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-KNOWN = 1_000_000
+#: Bytes of remembered pre-tokens, about; what one costs besides its own bytes; longer ones are not remembered.
+KNOWN_BYTES, WORD_BYTES, LONG = 256 << 20, 200, 256
 BATCH_BYTES = 1 << 20
 
 
@@ -78,40 +79,43 @@ def count_sorted(words: list[bytes], score: dict[bytes, float], longest: int) ->
 def token_counts(docs: DataFrame, text: str = "text", keep: list[str] | None = None, vocabulary: str | None = None) -> DataFrame:
     """The columns `keep` (default all), n_pretokens, n_tokens and unigram_score (the sum of the log-probabilities); one row per row of `docs`.
 
-    Null and empty texts have no pre-tokens. Whole texts are read. Other columns
-    may have any names but these three. vocabulary: a file of ranked pieces, by
-    default the public one, looked up where the task runs.
+    Null and empty texts have no pre-tokens. Whole texts are read. A column of
+    one of these three names gives way to the new one. vocabulary: a file of
+    ranked pieces, by default the public one, looked up where the task runs.
     """
     ship(docs.sparkSession)
-    keep = keep if keep is not None else docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], kept: int) -> Iterator[list]:
         import public_tokenizers
 
         score, longest = pieces(vocabulary or public_tokenizers.path(VOCABULARY))
         known: dict[bytes, int] = {}
-        numbers = [np.zeros(0, np.int64), np.zeros(0)]
+        numbers, size = [np.zeros(0, np.int64), np.zeros(0)], 0
         for b in batches:
-            texts = b.column(len(keep)).cast(pa.binary()).to_pylist()
+            texts = b.column(kept).cast(pa.binary()).to_pylist()
             sums = []
             for at, to in _groups(texts):
                 words = [t.split() if t else [] for t in texts[at:to]]
-                if len(known) > KNOWN:
-                    known, numbers = {}, [np.zeros(0, np.int64), np.zeros(0)]
+                if size > KNOWN_BYTES:
+                    known, numbers, size = {}, [np.zeros(0, np.int64), np.zeros(0)], 0
                 new = sorted(set(chain.from_iterable(words)).difference(known))
                 counts, scores = count_sorted([b" " + w for w in new], score, longest)
-                known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+                known.update(zip(new, range(len(numbers[0]), len(numbers[0]) + len(new)), strict=True))
                 numbers = [np.append(numbers[0], np.array(counts, np.int64)), np.append(numbers[1], np.array(scores, float))]
                 sizes = np.array([len(w) for w in words])
                 which = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, sizes.sum())
                 owner = np.repeat(np.arange(len(words)), sizes)
                 sums.append((sizes, np.bincount(owner, numbers[0][which], len(words)).astype(np.int64), np.bincount(owner, numbers[1][which], len(words))))
+                size += WORD_BYTES * len(new)
+                for w in new:
+                    if len(w) > LONG:
+                        del known[w]
+                    else:
+                        size += len(w)
             found = [pa.array(np.concatenate([x[k] for x in sums]) if sums else np.zeros(0), t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *found], names=[*b.schema.names[: len(keep)], "n_pretokens", "n_tokens", "unigram_score"])
+            yield [*b.columns[:kept], *found]
 
-    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
-    fields = [*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields], "n_pretokens bigint", "n_tokens bigint", "unigram_score double"]
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_counted_text")).mapInArrow(run, ", ".join(fields))
+    return computed_beside(docs, text, keep, {"n_pretokens": "bigint", "n_tokens": "bigint", "unigram_score": "double"}, run)
 
 
 def _groups(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
