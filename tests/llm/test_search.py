@@ -133,24 +133,30 @@ def test_decontamination(spark):
         w, hit, found = words_by_hand(t), set(), set()
         for item, body in items:
             b = words_by_hand(body)
-            if item is None or not b:
+            if not b:
                 continue
             n = min(10, len(b))
             windows = {tuple(b[i : i + n]) for i in range(len(b) - n + 1)}
             for i in range(len(w) - n + 1):
                 if tuple(w[i : i + n]) in windows:
                     hit |= set(range(i, i + n))
-                    found.add(str(item))
+                    found |= {str(item)} - {"None"}
         expected.append((len(w), len(hit), sorted(found)))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     for limit in (0, 10**6):  # joined by a shuffle, and broadcast
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1" if not limit else threshold)
         got = decontaminate.contamination(docs, bench, broadcast_windows=limit).collect()
         rows = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in got}
         assert len(got) == len(texts)
         assert [rows[None if t == "no id" else i] for i, t in enumerate(texts)] == expected
+        clean = decontaminate.remove_documents(docs, bench, broadcast_windows=limit, broadcast_texts=limit)
+        assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {None if t == "no id" else i for i, t in enumerate(texts) if not expected[i][1]}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert any(e[1] for e in expected)
-    clean = decontaminate.remove_documents(docs, bench)
-    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {None if t == "no id" else i for i, t in enumerate(texts) if not expected[i][1]}
     cut = {r.doc_id: r.text for r in decontaminate.remove_spans(docs.where("doc_id IS NOT NULL"), bench).collect()}
+    mixed = spark.createDataFrame([(None, "a short item here", 1), (None, "clean", 2), (7, "clean too", 3), (7, "short item here", 4), (7, None, 5)], "doc_id bigint, text string, body int")
+    assert sorted(r.body for r in decontaminate.remove_documents(mixed, bench).collect()) == [2, 3, 5]
+    assert sorted((r.body, r.text) for r in decontaminate.remove_spans(mixed, bench).collect() if r.text is not None) == [(1, "a "), (2, "clean"), (3, "clean too"), (4, "")]
     assert cut[3] == "a b" and cut[5] == "" and cut[0] is None and cut[12] == texts[12]
     assert decontaminate.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0 and decontaminate.contamination(docs.limit(0), bench).count() == 0
     op = decontaminate.contamination(docs, bench).where("doc_id = 3").select(F.sha2(F.array_join("items", ","), 256)).first()[0]
