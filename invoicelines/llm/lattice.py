@@ -6,6 +6,12 @@ vector's cell. A vector is stored under its own cell and probes that cell and th
 `probes` neighbouring cells whose walls are nearest. Vectors that meet are
 candidates; their cosine decides. Only keys and ids are shuffled to find
 candidates. Equal vectors are collapsed to one first.
+
+A cell of m vectors does not give all its pairs. First each is compared with the
+cell's first one; of what is then not connected, the members outside the cell's
+largest component are compared with all. Links are counted at the end, by comparing
+all members of a component in blocks, so a large group costs products of matrices in
+many tasks, and rows in proportion to its members.
 """
 
 from __future__ import annotations
@@ -18,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored, table
+from .common import components, drop_stored, ship, stored, table
 
 THRESHOLD = 0.93
 TABLES, PROBES, SCALE, SEED = 8, 16, 0.6, 9
+#: Components of at most FEW vectors are compared as pairs, larger ones in blocks.
+FEW, BLOCK = 16, 1024
 
 
 def neighbours() -> np.ndarray:
@@ -85,49 +93,119 @@ class Hasher:
         return out
 
 
-def _unit(values: list) -> np.ndarray:
-    v = np.array(values, np.float64)
+def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1)[:, None]
 
 
-def candidates(distinct: DataFrame, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, seed: int = SEED) -> DataFrame:
-    """Pairs (a, b), a < b, that meet in a cell. distinct: cid, label, vector (array<double>), each vector once."""
+def cells(distinct: DataFrame, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, seed: int = SEED) -> DataFrame:
+    """key, cid, own (stored there, not only probing). distinct: cid, label, vector (array<double>), each vector once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, Hasher] = {}
         for b in batches:
-            ids, labels, vectors = np.asarray(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist()
-            dims = np.array([len(v) for v in vectors])
-            for dim in np.unique(dims).tolist():
-                for own in np.array_split(np.flatnonzero(dims == dim), -(-int((dims == dim).sum()) // 2048)):
+            ids, labels = np.asarray(b.column(0)), np.asarray(b.column(1))
+            for rows, vectors in _by_length(b.column(2)):
+                for at in range(0, len(rows), 2048):
+                    own, dim = rows[at : at + 2048], vectors.shape[1]
                     hasher = made.setdefault(dim, Hasher(dim, tables, probes, scale, seed))
-                    salt = np.array([hash((int(labels[i]), dim)) & ((1 << 63) - 1) for i in own], np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
-                    keys = hasher.keys(_unit([vectors[i] for i in own]), salt).reshape(len(own), -1)
+                    salt = (labels[own].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(dim)) * np.uint64(0xBF58476D1CE4E5B9)
+                    keys = hasher.keys(_unit(vectors[at : at + 2048]), salt).reshape(len(own), -1)
                     stored_under = np.zeros(keys.shape, bool)
                     stored_under.reshape(len(own), tables, -1)[:, :, 0] = True
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[own], keys.shape[1])), pa.array(keys.ravel().view(np.int64)), pa.array(stored_under.ravel())], names=["cid", "key", "own"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids[own], keys.shape[1])), pa.array(stored_under.ravel())], names=["key", "cid", "own"])
+
+    return distinct.select("cid", F.xxhash64("label"), "vector").mapInArrow(run, "key bigint, cid bigint, own boolean")
+
 
-    cells, _ = stored(distinct.select("cid", F.col("label").cast("bigint"), "vector").mapInArrow(run, "cid bigint, key bigint, own boolean"), "lattice")
-    homes = cells.where("own").select(F.col("cid").alias("b"), "key")
-    met = cells.select(F.col("cid").alias("a"), "key").join(homes, "key").where("a <> b")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _by_length(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of each length, and their vectors as a matrix."""
+    lengths = np.asarray(lists.value_lengths())
+    for n in np.unique(lengths).tolist():
+        rows = np.flatnonzero(lengths == n)
+        yield rows, lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), n)
 
 
-def links(distinct: DataFrame, threshold: float = THRESHOLD, **kw) -> DataFrame:
-    """Pairs (a, b) of candidates whose cosine, in double precision, is `threshold` or more."""
+def verified(pairs: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose labels and lengths are equal and whose cosine, in double precision, is `threshold` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
-            same = np.flatnonzero([len(p) == len(q) for p, q in zip(x, y, strict=True)])
-            cos = np.array([np.dot(p, q) / np.sqrt(np.dot(p, p) * np.dot(q, q)) for p, q in ((np.array(x[i]), np.array(y[i])) for i in same)])
-            keep = pa.array(same[cos >= threshold] if len(same) else same)
+            kept = [np.zeros(0, np.int64)]
+            for rows, x in _by_length(b.column(2)):
+                y = next(_by_length(b.column(3).take(pa.array(rows))))[1]
+                cos = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
+                kept.append(rows[cos >= threshold])
+            keep = pa.array(np.concatenate(kept))
             yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], names=["a", "b"])
 
-    pairs = candidates(distinct, **kw)
-    left = distinct.select(F.col("cid").alias("a"), F.col("vector").alias("x"))
-    right = distinct.select(F.col("cid").alias("b"), F.col("vector").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    left = distinct.select(F.col("cid").alias("a"), F.col("label").alias("p"), F.col("vector").alias("x"))
+    right = distinct.select(F.col("cid").alias("b"), F.col("label").alias("q"), F.col("vector").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").where((F.col("p") == F.col("q")) & (F.size("x") == F.size("y")))
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def _pair(a: str, b: str) -> list:
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
+
+
+def linked(distinct: DataFrame, threshold: float = THRESHOLD, **kw) -> DataFrame:
+    """node, component as components() gives them, of true links between vectors that meet in a cell."""
+    spark = distinct.sparkSession
+    found, found_at = stored(cells(distinct, **kw), "lattice")
+    hubs = found.where("own").groupBy("key").agg(F.min("cid").alias("hub"))
+    met, met_at = stored(found.join(hubs, "key"), "lattice")
+    drop_stored(spark, found_at)
+    first, _ = stored(met.where("cid <> hub").select(*_pair("cid", "hub")).distinct(), "lattice")
+    links, _ = stored(verified(first, distinct, threshold), "lattice")
+    now = components(links)
+    # What is not connected yet: in each cell, those outside its largest component with all others.
+    rows = met.join(now, F.col("cid") == F.col("node"), "left").select("key", "cid", "own", F.coalesce("component", "cid").alias("label"))
+    rows, _ = stored(rows, "lattice")
+    parts = rows.groupBy("key", "label").agg(F.count("*").alias("m"))
+    mixed = parts.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("m", "label")).alias("most")).where("labels > 1").select("key", F.col("most.label").alias("main"))
+    rows = rows.join(mixed, "key")
+    others = rows.where("label <> main").select("key", F.col("cid").alias("c"), F.col("own").alias("c_own"), F.col("label").alias("c_label"))
+    more = rows.join(others, "key").where("label <> c_label AND (own OR c_own)").select(*_pair("cid", "c")).distinct()
+    tried, _ = stored(more.join(first, ["a", "b"], "left_anti"), "lattice")
+    links, _ = stored(links.union(verified(tried, distinct, threshold)), "lattice")
+    drop_stored(spark, met_at)
+    return components(links)
+
+
+def link_counts(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """cid, linked: how many rows the other vectors stand for that are linked with it. members: cid, component, vector, n (rows), all of a component."""
+    spark = members.sparkSession
+    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes, _ = stored(members.groupBy("component").agg(F.count("*").alias("m")), "lattice")
+    few = members.join(sizes.where(F.col("m") <= FEW), "component")
+    pairs = few.select("component", F.col("cid").alias("a")).join(few.select("component", F.col("cid").alias("b")), "component").where("a > b").select("a", "b")
+    near = verified(pairs, members.withColumn("label", F.lit(0)), threshold)
+    near, _ = stored(near.union(near.select("b", "a")).toDF("cid", "other"), "lattice")
+    counted = near.join(members.select(F.col("cid").alias("other"), "n"), "other").groupBy("cid").agg(F.sum("n").alias("linked"))
+    # Each pair of blocks of a component is one cell; a member goes to the cells of its own block.
+    many = members.join(sizes.where(F.col("m") > FEW), "component").withColumn("wide", F.ceil(F.col("m") / BLOCK).cast("int"))
+    many = many.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("wide")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)))
+    many = many.select("component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "cid", "n", "vector")
+
+    def run(cell: pa.Table) -> pa.Table:
+        cell = cell.combine_chunks()
+        own, ids, n = (np.asarray(cell.column(k)) for k in ("own", "cid", "n"))
+        x, y = cell.column("x")[0].as_py(), cell.column("y")[0].as_py()
+        vectors = cell.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        square = np.einsum("ij,ij->i", vectors, vectors)
+        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        total = np.zeros(len(ids), np.int64)
+        for at in range(0, len(left), 512):
+            rows = left[at : at + 512]
+            near = (vectors[rows] @ vectors[right].T) / np.sqrt(square[rows, None] * square[None, right]) >= threshold
+            near &= rows[:, None] != right[None, :]
+            total[rows] += near @ n[right]
+            if x != y:
+                total[right] += n[rows] @ near
+        return pa.table({"cid": pa.array(ids), "linked": pa.array(total)})
+
+    by_blocks = many.repartition(slots, "component", "x", "y").groupBy("component", "x", "y").applyInArrow(run, "cid bigint, linked bigint")
+    return counted.unionByName(by_blocks.groupBy("cid").agg(F.sum("linked").alias("linked")))
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, **kw) -> DataFrame:
@@ -136,20 +214,22 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     Only vectors with equal labels and equal lengths are compared. A row with a
     null id or label, or a vector that is null, empty, all zeros or holds a null
     or non-finite component, links with nothing and is its own component.
-    n_links counts rows, equal vectors and repeated ids included. Every link is
-    true; a link whose vectors never meet in a cell is missed. Other columns are
-    not read. An empty table gives an empty result.
+    n_links counts rows, equal vectors and repeated ids included (equal label and
+    vector: told by a 64-bit hash). Every link is true, and all links inside a
+    component are counted; vectors that never meet in a cell, directly or by
+    others, are missed. Other columns are not read. An empty table gives an empty
+    result.
     """
+    ship(vectors.sparkSession)
     v = F.col("vector")
     good = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").alias("label"), F.col(f"`{vector}`").cast("array<double>").alias("vector"))
     rows = rows.withColumn("cid", F.when(F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(good, F.lit(False)), F.xxhash64("label", "vector")))
     classes, _ = stored(rows.where("cid IS NOT NULL").groupBy("cid").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.min("id").alias("least"), F.count("*").alias("n")), "lattice")
-    found, _ = stored(links(classes, threshold, **kw), "lattice")
-    counts = classes.select("cid", "n")
-    ends = found.union(found.select("b", "a")).toDF("cid", "other")
-    direct = ends.join(counts.toDF("other", "n_other"), "other").groupBy("cid").agg(F.sum("n_other").alias("linked"))
-    groups = components(found)
+    groups, _ = stored(linked(classes, threshold, **kw), "lattice")
+    tops_of = groups.select("node", "component").union(groups.select("component", "component").distinct())
+    members, _ = stored(classes.join(tops_of, F.col("cid") == F.col("node")).select("cid", "component", "vector", "n"), "lattice")
+    direct = link_counts(members, threshold)
     named = classes.select("cid", "n", "least").join(groups, F.col("cid") == F.col("node"), "left").join(direct, "cid", "left")
     named = named.select("cid", "n", "least", F.coalesce("component", "cid").alias("component"), F.coalesce("linked", F.lit(0)).alias("linked"))
     tops = named.join(groups.select(F.col("component").alias("top")).distinct(), F.col("component") == F.col("top"), "left_semi").groupBy("component").agg(F.min("least").alias("group_least"))
