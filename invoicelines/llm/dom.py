@@ -11,8 +11,10 @@ The pages carry no labels, so the labelled pages are derived: in a bounded sampl
 (SAMPLE pages), nodes inside an element or class that names its role (CONTENT,
 BOILERPLATE: fixed word lists of the HTML standard and of common usage) are labelled
 by it, those above them are frames, and the rest is left out. Potentials and evidence
-are smoothed counts of the labelled nodes. Two things are known beforehand: a node
-that names a boilerplate role has it, and nothing below boilerplate is content.
+are smoothed counts of the labelled nodes. What is known beforehand: elements such as
+script and nav are boilerplate, and nothing below boilerplate is content. Names of a
+role count by fixed, finite amounts besides what is learned: a boilerplate name less
+than an article below it, which makes its node a frame.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import computed_beside, ship, table
 
 SAMPLE = 2000
 #: Elements without content of their own.
@@ -52,11 +54,14 @@ BOILERPLATE = frozenset(
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)", re.S)
-NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)", re.S)
+#: A quote matters only directly after the sign; one that never ends ends with the tag.
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[\"'][^>]*|[^\s>\"'][^\s>]*|(?=>)))?")
+TAG_END = re.compile(r"[\s/]*>?")
+NAMED = ("class", "id", "role", "itemprop", "aria-label")
 SPLIT = re.compile(r"[^a-z0-9]+")
 HEADING = re.compile(r"h[1-6]")
+COMMENT = re.compile(r"(?:comment|reply)(?:-.*)?")
 
 
 @dataclass
@@ -87,11 +92,16 @@ def parse(page: str) -> list[Node]:
             text(page[at:])
             break
         text(page[at : m.start()])
-        tag, at = m.group(), m.end()
-        if tag[1] in "!?":
+        at = m.end()
+        if m.group(1) is None:
             continue
-        element = NAME.match(tag).group(1).lower()
-        if tag[1] == "/":
+        element, attributes = m.group(1).lower(), {}
+        while (found := ATTRIBUTE.match(page, at)) is not None:
+            at = found.end()
+            attributes.setdefault(found.group(1).lower(), (found.group(2) or "").strip("\"'"))
+        end = TAG_END.match(page, at)
+        at = end.end()
+        if page[m.start() + 1] == "/":
             for depth in range(len(stack) - 1, 0, -1):
                 if nodes[stack[depth]].element == element:
                     del stack[depth:]
@@ -108,18 +118,17 @@ def parse(page: str) -> list[Node]:
                     break
                 if nodes[stack[depth]].element in stop:
                     break
-        attributes = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(tag[len(element) + 1 :])} if "=" in tag else {}
-        names = frozenset(w for a in ("class", "id", "role", "itemprop", "aria-label") if a in attributes for w in SPLIT.split(attributes[a].lower()) if w)
-        whole = frozenset(w for a in ("class", "id", "role", "itemprop", "aria-label") if a in attributes and (a != "id" or not HEADING.fullmatch(element)) for w in attributes[a].lower().split())
+        named = [a for a in NAMED if a in attributes]
+        names = frozenset(w for a in named for w in SPLIT.split(attributes[a].lower()) if w)
+        whole = frozenset(w for a in named if a != "id" or not HEADING.fullmatch(element) for w in attributes[a].lower().split())
         # Ids on headings, and of several words inside the main text, are made of the heading's own words.
         if "id" in attributes and not whole & {attributes["id"].lower()} & BOILERPLATE and (HEADING.fullmatch(element) or any(nodes[i].element in ("article", "main") for i in stack)):
             others = frozenset(w for a in ("class", "role", "itemprop", "aria-label") if a in attributes for w in SPLIT.split(attributes[a].lower()))
             names -= (frozenset(SPLIT.split(attributes["id"].lower())) & BOILERPLATE) - others
-        bare = tag[len(element) + 1 :].lower()
-        hidden = "display:none" in attributes.get("style", "").replace(" ", "").lower() or attributes.get("aria-hidden") == "true" or bool(re.search(r"\shidden(?=[\s/>]|$)", bare))
+        hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         nodes.append(Node(element, stack[-1], names, hidden, whole, bool(names & BOILERPLATE)))
         nodes[stack[-1]].parts.append(len(nodes) - 1)
-        if element in VOID or tag.endswith("/>"):
+        if element in VOID or end.group().endswith("/>"):
             continue
         if element in RAW:
             end = re.compile(rf"</{re.escape(element)}\s*>", re.I).search(page, at)
@@ -147,7 +156,9 @@ def features(nodes: list[Node]) -> list[list[str]]:
         found += [f".{w}" for w in x.names]
         if x.hidden:
             found.append("hidden")
-        if x.names & CONTENT:
+        if is_article(x):
+            found.append("article")
+        elif x.names & CONTENT and not x.names & BOILERPLATE:
             found.append("named content")
         if own[i]:
             found.append("text")
@@ -155,26 +166,34 @@ def features(nodes: list[Node]) -> list[list[str]]:
     return out
 
 
+def is_article(x: Node) -> bool:
+    """An element for main content that is not a reader's comment by its names."""
+    return x.element in ("article", "main") and not any(COMMENT.fullmatch(w) for w in x.whole)
+
+
 def is_boilerplate(x: Node) -> bool:
-    """Whether a node names such a role beyond doubt: by its element, by being hidden, or by a whole name that is not taken back by a content element."""
-    return (x.element in BOILERPLATE_ELEMENTS and x.element != "form") or x.hidden or (x.element not in ("article", "main", "body", "html") and bool(x.whole & BOILERPLATE))
+    """Whether a node is boilerplate beyond doubt: by its element, or by being hidden."""
+    return (x.element in BOILERPLATE_ELEMENTS and x.element != "form") or x.hidden
 
 
-def is_hinted(x: Node) -> bool:
-    """Whether a word inside a longer name, or being a form, speaks for boilerplate."""
-    return x.element not in ("article", "main", "body", "html") and (x.element == "form" or x.hinted)
+def speaks_for_boilerplate(x: Node) -> float:
+    """By how much a node's names do: a whole name more than a word inside a longer name or being a form."""
+    if is_article(x) or x.element in ("body", "html"):
+        return 0.0
+    return WHOLE if x.whole & BOILERPLATE or x.element == "article" else HINT if x.element == "form" or x.hinted else 0.0
 
 
 def labels(nodes: list[Node]) -> list[int]:
-    """Tags of nodes in elements or classes that name their role and of the frames above them, -1 elsewhere. Hints label what holds no named content."""
-    out, holds = [], [x.element in ("article", "main") or bool(x.names & CONTENT) for x in nodes]
+    """Tags of nodes in elements or classes that name their role and of the frames above them, -1 elsewhere. Whole names label what holds no article, hints what holds no named content either."""
+    out, articles, holds = [], [is_article(x) for x in nodes], [bool(x.names & CONTENT) for x in nodes]
     for i in range(len(nodes) - 1, 0, -1):
+        articles[nodes[i].parent] |= articles[i]
         holds[nodes[i].parent] |= holds[i]
     for i, x in enumerate(nodes):
-        above = out[x.parent] if x.parent >= 0 else -1
-        if above == 2 or is_boilerplate(x) or (is_hinted(x) and not holds[i]):
+        above, hint = out[x.parent] if x.parent >= 0 else -1, speaks_for_boilerplate(x)
+        if above == 2 or is_boilerplate(x) or (hint and not articles[i] and (hint == WHOLE or not holds[i])):
             out.append(2)
-        elif above == 1 or x.element in ("article", "main") or x.names & CONTENT:
+        elif above == 1 or is_article(x) or x.names & CONTENT:
             out.append(1)
         else:
             out.append(-1)
@@ -187,15 +206,15 @@ def labels(nodes: list[Node]) -> list[int]:
 TAGS = (0, 1, 2)
 #: Log potential of what is ruled out.
 NEVER = -60.0
-#: What a hint counts for boilerplate; less than an element that names the content.
-HINT = 8.0
+#: What names count for boilerplate: words inside longer ones, and whole ones; less than an article below.
+HINT, WHOLE = 8.0, 30.0
 #: Added to what was counted: to each feature's share over its mean share, and to each tag's share of a parent's children; the root's prior.
 FEATURE_SLACK, TIE_SLACK, ROOT = 0.03, 0.01, (0.8, 0.15, 0.05)
 
 #: Weights of evidence that is not independent of the rest, by a feature's first character: elements, sizes, own sizes, links, having text; names count in full.
 WEIGHTS = {"<": 0.25, "s": 0.1, "o": 0.1, "l": 0.5, "t": 1.0, ".": 1.0}
-#: What an element that names the content counts against the other tags, before and after training.
-NAMES_CONTENT, CONTENT_PRIOR = ("<article", "<main", "named content"), 20.0
+#: What an element or name for the content counts against the other tags.
+CONTENT_PRIOR = {"article": 40.0, "named content": 20.0}
 
 
 @dataclass
@@ -217,9 +236,9 @@ class Model:
             if is_boilerplate(x):
                 own[0] += NEVER
                 own[1] += NEVER
-            elif is_hinted(x):
-                own[0] -= HINT
-                own[1] -= HINT
+            elif hint := speaks_for_boilerplate(x):
+                own[0] -= hint
+                own[1] -= hint
             belief.append(own)
         step = np.exp(self.ties).tolist()
         back = np.exp(self.ties.T).tolist()
@@ -255,8 +274,10 @@ def fit(counts: Counter) -> Model:
     for f in names:
         share = np.array([counts["f", f, c] / n[c] for c in TAGS])
         evidence[f] = tuple((WEIGHTS.get(f[0], WEIGHTS["."]) * np.log(share / share.mean() + FEATURE_SLACK)).tolist())
-    for f in NAMES_CONTENT:
-        evidence[f] = (-CONTENT_PRIOR, 0.0, -CONTENT_PRIOR)
+    for f, prior in CONTENT_PRIOR.items():
+        evidence[f] = (-prior, 0.0, -prior)
+    for f in ("<article", "<main"):  # said by `article`, or taken back by a comment's name
+        evidence.pop(f, None)
     ties = np.array([[counts["t", a, b] for b in TAGS] for a in TAGS], float)
     ties = np.log(ties / np.maximum(ties.sum(axis=1, keepdims=True), 1.0) + TIE_SLACK)
     ties[0, 1:] = ties[0, 1:].mean()  # a page has one main part and many others
@@ -333,25 +354,22 @@ def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> Mod
 def extract(pages: DataFrame, model: Model, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (default all), text and blocks (array of strings); one row per row of `pages`.
 
-    Null and empty pages have no blocks and the text ''. Whole pages are read.
-    Other columns may have any names but text and blocks.
+    Null and empty pages have no blocks and the text ''. Whole pages are read. A
+    column named text or blocks gives way to the new one.
     """
     ship(pages.sparkSession)
-    keep = keep if keep is not None else pages.columns
     shared = pages.sparkSession.sparkContext.broadcast(model)  # features of the sample
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], kept: int) -> Iterator[list]:
         model = shared.value
         for b in batches:
             found = []
-            for page in b.column(len(keep)).to_pylist():
+            for page in b.column(kept).to_pylist():
                 nodes = parse(page or "")
                 found.append(content(nodes, model.marginals(nodes, features(nodes))))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([" ".join(x) for x in found], pa.string()), pa.array(found, pa.list_(pa.string()))], names=[*b.schema.names[: len(keep)], "text", "blocks"])
+            yield [*b.columns[:kept], pa.array([" ".join(x) for x in found], pa.string()), pa.array(found, pa.list_(pa.string()))]
 
-    kept = pages.select(*[F.col(f"`{c}`") for c in keep])
-    fields = [*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields], "text string", "blocks array<string>"]
-    return pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`").alias("_read_page")).mapInArrow(run, ", ".join(fields))
+    return computed_beside(pages, html_col, keep, {"text": "string", "blocks": "array<string>"}, run)
 
 
 def op6_html_text(spark, sf_dir: str) -> DataFrame:
