@@ -127,6 +127,10 @@ def test_language_id(spark):
     held = [r for r in rows if r[0] is not None and r[0] < 1000 and zlib.crc32(str(r[0]).encode()) % 3 == 1]
     assert np.mean([got[r[0]].lang_pred == r[2] for r in held]) > 0.95 and all(0 <= g.score <= 1 for g in got.values())
     assert [got[1000 + i].lang_pred for i in range(4)] == ["und"] * 4 and got[1004].lang_pred != "und"
+    odd = spark.createDataFrame([(i, t) for i, t in enumerate(["½ ② ²", "Ⅷ", "١٢", "語"])], "doc_id bigint, text string")
+    assert [r.lang_pred == "und" for r in langid.identify(odd, model).orderBy("doc_id").collect()] == [True, True, True, False]
+    every = langid.identify(docs, model)
+    assert sorted(every.columns) == sorted(docs.columns) and every.where("doc_id = 1003").first().lang_pred == "und"
     nothing = langid.train(docs.limit(0))
     assert nothing.languages == [] and [r.lang_pred for r in langid.identify(docs.limit(1), nothing, keep=["doc_id"]).collect()] == ["und"]
 
@@ -212,6 +216,9 @@ def test_toxicity(spark):
     constant = toxicity.train(docs, marks.limit(0))
     assert {r.score for r in toxicity.score(docs, constant, keep=["doc_id"]).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), model, keep=["doc_id"]).count() == 0
+    every = toxicity.score(docs, model)
+    assert sorted(every.columns) == sorted({*docs.columns, "predicted"}) and every.where("doc_id = 5").first().score == got[5].score
+    assert toxicity.features("a" * 50 + "b")[0] != toxicity.features("a" * 50 + "c")[0]
 
 
 # Operator 6
@@ -271,6 +278,8 @@ def test_trie_counts(spark):
         found = [memo.setdefault(w, best(w)) for w in words]
         assert (got[i].n_pretokens, got[i].n_tokens) == (len(words), sum(f[1] for f in found))
         assert abs(got[i].unigram_score + sum(f[0] for f in found)) < 1e-6 * (1 + len(words))
+    clash = trie_counts.token_counts(docs.withColumn("n_tokens", F.lit("x")))
+    assert sorted(clash.columns) == sorted([*docs.columns, "n_pretokens", "n_tokens", "unigram_score"]) and clash.where("doc_id = 5").first().n_tokens == got[5].n_tokens
     assert trie_counts.token_counts(docs.limit(0), keep=["doc_id"]).count() == 0
 
 
@@ -297,3 +306,24 @@ def test_html_names_inside_slugs(spark):
     pages = frame(spark, rows, "page_id bigint, html string")
     got = {r.page_id: r.text for r in dom.extract(pages, dom.train(pages.where("page_id < 20")), keep=["page_id"]).collect()}
     assert [got[i] for i in (20, 21, 22)] == ["Methods Text one. Text two. History Notice"] * 3
+
+
+def test_html_wrappers_and_broken_quotes(spark):
+    """An article outvotes its wrapper's name; quotes count only after an equals sign; comments stay out."""
+    rows = [(i, PAGE.replace("Second", f"Second {i}")) for i in range(12)]
+    article = "<article><h1>Title</h1><p>The first paragraph of it.</p><p>And one more.</p></article>"
+    names = ["no-sidebar", "has-share", "header-fixed", "comments-open", "search-results", "with-ads", "post-tags", "sidebar", "header"]
+    rows += [(100 + i, f'<body><nav>Menu</nav><div id="page" class="{x}">{article}<footer>Foot</footer></div></body>') for i, x in enumerate(names)]
+    broken = [
+        ("<article><img alt=it's x><p>First.</p><p>We don't.</p><p>Last.</p></article>", "First. We don't. Last."),
+        ('<article><p>One <a title="x>link</a> two.</p></article>', "One link two."),
+        ('<article><p class=a"b>In "quotes" here</p></article>', 'In "quotes" here'),
+        (f'<body>{article}<section id="comments"><article class="comment"><div class="content">Reader</div></article></section></body>', "Title The first paragraph of it. And one more."),
+    ]
+    rows += [(200 + i, f"<html><body>{p}</body></html>") for i, (p, _) in enumerate(broken)]
+    pages = frame(spark, rows, "page_id bigint, html string")
+    found = dom.extract(pages.withColumn("text", F.lit("clash")), dom.train(pages.where("page_id < 50")))
+    assert [c for c in found.columns if c == "text"] == ["text"]
+    got = {r.page_id: r.text for r in found.collect()}
+    assert {names[i]: got[100 + i] for i in range(len(names))} == dict.fromkeys(names, "Title The first paragraph of it. And one more.")
+    assert [got[200 + i] for i in range(len(broken))] == [t for _, t in broken]

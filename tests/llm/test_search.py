@@ -224,6 +224,36 @@ def test_lattice_recall_and_odd_vectors(spark):
     assert lattice.near_duplicates(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [100, 1024])
+def test_links_against_all_pairs(spark, monkeypatch, block):
+    """A large group of near vectors, chains, pairs and strangers: links and components of 1,300 vectors by brute force."""
+    monkeypatch.setattr(lattice, "BLOCK", block)
+    rng = np.random.default_rng(10)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    centre = unit(rng.normal(size=(1, 64)))
+    group = unit(centre + 0.3 * unit(rng.normal(size=(400, 64))))
+    some = unit(rng.normal(size=(200, 64)))
+    near = unit(some + 0.25 * unit(rng.normal(size=(200, 64))))
+    chain = [centre[0]]
+    for _ in range(100):
+        chain.append(unit(chain[-1][None] + 0.33 * unit(rng.normal(size=(1, 64))))[0])
+    x = np.concatenate((group, some, near, np.array(chain), unit(rng.normal(size=(399, 64)))))
+    label = rng.integers(0, 2, len(x)) * (np.arange(len(x)) > 350)
+    cos = unit(x) @ unit(x).T
+    links = (cos >= 0.93) & (label[:, None] == label[None, :]) & ~np.eye(len(x), dtype=bool)
+    least = np.arange(len(x))
+    while True:
+        new = np.minimum(least, np.where(links, least[None, :], len(x)).min(axis=1))
+        if (new == least).all():
+            break
+        least = new
+    assert links.sum() > 10_000 and len(np.unique(least)) < 1000
+    frame = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label, strict=True))], "vec_id bigint, embedding array<double>, label int")
+    got = {r.vec_id: r for r in lattice.near_duplicates(frame).collect()}
+    assert np.mean([got[i].component_id == least[i] for i in range(len(x))]) > 0.98
+    assert sum(got[i].n_links for i in range(len(x))) >= 0.99 * links.sum() and all(got[i].n_links <= links[i].sum() for i in range(len(x)))
+
+
 def test_e8_points():
     rng = np.random.default_rng(9)
     x = rng.normal(size=(300, 8)) * 2
