@@ -46,8 +46,8 @@ BLOCK = 2048
 SIMILARITY, WORDS = 0.8, 8
 #: Posting keys of long fingerprints, and bits in each.
 KEYS, KEY_BITS = 192, 24
-#: Shorter lists are compared many at once; a list with more pairs than SPARSE times its members gives one pair a member at first.
-FEW, SPARSE = 64, 2
+#: Shorter lists are compared many at once.
+FEW = 64
 BYTES = [0xFF << (8 * i) for i in range(8)]
 #: For each value of a byte, a byte for each of its bits, as one number.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
@@ -339,33 +339,23 @@ def _pairs(fp: np.ndarray, starts: np.ndarray, bits: int, rest: np.ndarray | Non
             yield tuple(np.concatenate(found, axis=1))
 
 
-def _rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
-
-
 def _proposed(postings: DataFrame, by: list[str], bits: int) -> DataFrame:
-    """Of lists (rows of equal columns `by`, the first being the key): kind 0, pairs (a, b); of lists whose pairs are not all there kind 1, (key, fp)."""
+    """Of each member of a list (rows of equal columns `by`) the first other one that is near: a pair (a, b), b the smaller."""
     slots = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = [c for c in postings.columns if c not in (*by, "fp")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns, starts, _ in _lists(batches, None):
-            key, ids = columns[:2]
-            sizes, owner = np.diff(starts), np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-            dense = np.zeros(len(sizes), bool)
+            ids = columns[1]
+            first = np.full(len(ids), len(ids))
             for i, j in _pairs(np.stack(columns[2:], axis=1).view(np.uint64), starts, bits):
-                much = np.bincount(owner[i], minlength=len(sizes)) > SPARSE * sizes
-                dense |= much
-                least = np.full(len(ids), len(ids))  # the first one near to each
-                np.minimum.at(least, j, i)
-                kept = ~much[owner[i]] | (least[j] == i)
-                yield _rows(0, ids[j[kept]], ids[i[kept]])
-            if dense.any():
-                yield _rows(1, key[dense[owner]], ids[dense[owner]])
+                np.minimum.at(first, j, i)
+            own = np.flatnonzero(first < len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[first[own]])], names=["a", "b"])
 
     key = F.col(by[0]) if len(by) == 1 else F.xxhash64(*by)
     dealt = postings.select(key.alias("key"), "fp", *names).repartition(slots, "key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(run, "kind int, a bigint, b bigint")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 def _across(lists: DataFrame, nodes: DataFrame, names: list[str], found: DataFrame, bits: int, block: int) -> DataFrame:
@@ -392,14 +382,14 @@ def _across(lists: DataFrame, nodes: DataFrame, names: list[str], found: DataFra
             for i, j in _pairs(np.stack(columns[4:], axis=1).view(np.uint64), starts, bits, other.astype(bool)):
                 kept = labels[i] != labels[j]
                 a, b = ids[i[kept]], ids[j[kept]]
-                yield _rows(0, np.maximum(a, b), np.minimum(a, b))
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
     cells = members.unionByName(others).select(F.xxhash64("key", "x", "y").alias("key"), "fp", "label", F.col("other").cast("int").alias("other"), *names)
-    return cells.repartition(slots, "key").sortWithinPartitions("key").mapInArrow(run, "kind int, a bigint, b bigint").select("a", "b").distinct()
+    return cells.repartition(slots, "key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def verified(edges: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The edges (a, b) whose sets of shingles have the similarity. nodes: fp, body; texts: body (hash of the text), text."""
+    """The edges (a, b) whose sets of shingles have the similarity. nodes: fp, least (id and body, a hash of the text, of one of its texts); texts: id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -407,8 +397,9 @@ def verified(edges: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: f
             yield pa.RecordBatch.from_arrays([pa.array([_number(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["fp", "held"])
 
     ends = edges.select(F.col("a").alias("fp")).union(edges.select(F.col("b").alias("fp"))).distinct()
-    bodies = nodes.join(ends, "fp", "left_semi").select("body")
-    picked = texts.join(bodies, F.xxhash64("text") == F.col("body"), "left_semi").groupBy(F.xxhash64("text")).agg(F.first("text").alias("text")).select("text")
+    wanted = nodes.join(ends, "fp", "left_semi").select(F.col("least.id").alias("w_id"), F.col("least.body").alias("w_body"))
+    picked = texts.join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.xxhash64("text") == F.col("w_body")), "left_semi")
+    picked = picked.groupBy("id", F.xxhash64("text")).agg(F.first("text").alias("text")).select("text")
     sets, _ = stored(picked.mapInArrow(run, "fp bigint, held array<bigint>"), "simhash")
     both = edges.join(sets.select(F.col("fp").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("held").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -418,35 +409,26 @@ def verified(edges: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: f
 def near_components(nodes: DataFrame, texts: DataFrame, similarity: float, shingle: int, words: int, block: int = BLOCK) -> DataFrame:
     """node, component as components() gives them, of links verified on the texts' shingles.
 
-    nodes: fp, body, f0, f1, ..., a row for each set of shingles; texts: text. All pairs
-    that share a list and are near by their bits are verified but those that
-    links found before already connect. Lists longer than `block` are dealt in blocks
-    that share their first member, then what is not connected is compared across.
+    nodes: fp, least, f0, f1, ..., a row for each set of shingles; texts: id, text. Each
+    node is first verified against one that is near in some list (lists longer than
+    `block` are dealt in blocks that share their first member). In lists that hold
+    several components then, all near pairs across them are verified too.
     """
     bits, names, spark = allowed_bits(similarity, words), [f"f{k}" for k in range(words)], nodes.sparkSession
     shared, shared_at = stored(_several(_keyed(nodes, names), block), "simhash")
     with_words = nodes.select("fp", *names)
-    found, _ = stored(_proposed(shared.where("NOT long").select("key", "fp").join(with_words, "fp").select("key", "fp", *names), ["key"], bits), "simhash")
-    edges, lists = found.where("kind = 0").select("a", "b"), found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"))
+    near = _proposed(shared.where("NOT long").select("key", "fp").join(with_words, "fp").select("key", "fp", *names), ["key"], bits)
     long = shared.where("long").select("key", "fp")
     if not long.isEmpty():
         sizes = long.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("wide"), F.min("fp").alias("hub"))
         own = F.array(F.pmod(F.xxhash64("fp"), F.col("wide")).cast("int"))
         dealt = long.join(sizes, "key").withColumn("x", F.explode(F.when(F.col("fp") == F.col("hub"), F.sequence(F.lit(0), F.col("wide") - 1)).otherwise(own)))
-        more, _ = stored(_proposed(dealt.join(with_words, "fp").select("key", "x", "fp", *names), ["key", "x"], bits), "simhash")
-        edges, lists = edges.union(more.where("kind = 0").select("a", "b")), lists.union(long)
-    edges, _ = stored(edges.distinct(), "simhash")
-    first, _ = stored(edges.groupBy("a").agg(F.min("b").alias("b")), "simhash")
+        near = near.union(_proposed(dealt.join(with_words, "fp").select("key", "x", "fp", *names), ["key", "x"], bits))
+    first, _ = stored(near.groupBy("a").agg(F.min("b").alias("b")), "simhash")
     links, _ = stored(verified(first, nodes, texts, similarity, shingle), "simhash")
-    for further in (lambda now: edges, lambda now: _across(lists, nodes, names, now, bits, block)):
-        now = components(links)
-        x, y = now.select(F.col("node").alias("a"), F.col("component").alias("x")), now.select(F.col("node").alias("b"), F.col("component").alias("y"))
-        open_ = further(now).join(x, "a", "left").join(y, "b", "left").where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
-        tried, _ = stored(open_.join(first, ["a", "b"], "left_anti"), "simhash")
-        if tried.isEmpty():
-            continue
+    tried, _ = stored(_across(shared.select("key", "fp"), nodes, names, components(links), bits, block).join(first, ["a", "b"], "left_anti"), "simhash")
+    if not tried.isEmpty():
         links, _ = stored(links.union(verified(tried, nodes, texts, similarity, shingle)), "simhash")
-        first = first.union(tried)
     drop_stored(spark, shared_at)
     return components(links)
 
@@ -503,9 +485,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", simi
     fields = [f"id {rows.select(id_).schema[0].dataType.simpleString()}", "body bigint", "fp bigint", *[f"{c} bigint" for c in names]]
     marked, marked_at = stored(rows.select(id_.alias("id"), F.xxhash64(body).alias("body"), body.alias("text")).mapInArrow(run, ", ".join(fields)), "simhash")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "body"))
-    nodes, _ = stored(marked.groupBy("fp").agg(least.alias("least"), F.min("body").alias("body"), *[F.first(c).alias(c) for c in names]), "simhash")
+    nodes, _ = stored(marked.groupBy("fp").agg(least.alias("least"), *[F.first(c).alias(c) for c in names]), "simhash")
     drop_stored(spark, marked_at)
-    found = near_components(nodes, rows.select(body.alias("text")), similarity, shingle, words, block)
+    found = near_components(nodes, rows.select(id_.alias("id"), body.alias("text")), similarity, shingle, words, block)
     kept = _least(nodes, found).select("component_id.id", "component_id.body").distinct().toDF("kept_id", "kept_body")
     hashed = F.xxhash64(*[c for c, f in zip(plain, docs.schema.fields, strict=True) if "map<" not in f.dataType.simpleString()])
     picked = rows.withColumns({"body": F.xxhash64(body), "tie": hashed}).join(kept, id_.eqNullSafe(F.col("kept_id")) & (F.col("body") == F.col("kept_body")), "left_semi")

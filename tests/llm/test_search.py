@@ -299,7 +299,7 @@ def test_near_dedup_by_true_similarity(spark, block):
 
 
 def test_rows_of_a_near_group_are_linear(spark):
-    """A group of near copies proposes at most SPARSE pairs for each posting, in any list."""
+    """A group of near copies proposes at most one pair for each posting, and no pair of one component is looked at again."""
     rng = random.Random(7)
     base, n = random_words(rng, 300, 10**6), 700
     texts = []
@@ -315,4 +315,6 @@ def test_rows_of_a_near_group_are_linear(spark):
     postings = several.count()
     assert postings <= simhash.KEYS * len(rows) and {r.long for r in several.select("long").distinct().collect()} == {True, False}
     found = simhash._proposed(several.select("key", "fp").join(nodes, "fp").select("key", "fp", *names), ["key"], simhash.allowed_bits(0.8, simhash.WORDS))
-    assert found.where("kind = 0").count() <= simhash.SPARSE * postings
+    assert 0 < found.count() <= postings
+    one = nodes.select(F.col("fp").alias("node"), F.lit(min(rows)).alias("component"))
+    assert simhash._across(several.select("key", "fp"), nodes, names, one, 110, 64).count() == 0
