@@ -34,7 +34,8 @@ def dedup_records(df: DataFrame, keys: tuple[str, ...] = ("supply_no", "account_
     """First of each key if all key columns are there, else distinct rows."""
     if not set(keys) <= set(df.columns):
         return df.dropDuplicates()
-    return dedup_first(df, list(keys), order_by or [c for c in df.columns if c not in keys])
+    others = order_by or [c for c in df.columns if c not in keys]
+    return dedup_first(df, list(keys), others) if others else df.dropDuplicates(list(keys))
 
 
 def drop_column_ci(df: DataFrame, name: str = TAX_ID) -> DataFrame:

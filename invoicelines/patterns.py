@@ -33,7 +33,6 @@ TRUE_WORDS = ("true", "1", "yes", "ναι", "t", "y")
 #: Replaced in this order after doubled characters are collapsed.
 REPAIRS = (("ΑΑ", "Α"), ("ρρ", "ρ"), ("ΠΠ", "Π"), ("αα", "α"), ("ρορο", "ρο"), ("χχήήςς", "χής"), ("χχήής", "χής"), ("χχής", "χής"))
 ANCHORS = (r"Ο\s+λογαριασμός\s+σας\s+συνοπτικ[άα]", r"Κωδικός\s+Ηλεκτρονικής\s+Πληρωμής", r"Κατανάλωση\s+Ηλεκτρικής\s+Ενέργειας")
-KNOWN_IDS = ("555016009011", "555035070018")
 SUPPLY = (r"(\d\s+\d{10}[-\s]\d{1,2})", r"(\d{1,2}\s+\d{10,11}[-\s]\d{1,2})", r"(\d{12})")
 NAME = (r"(ΔΗΜΟΣ\s+[A-ZΆ-ώ\s]+?)(?:\s|$)", r"([A-ZΆ-ώ]+\s+[A-ZΆ-ώ\s]+?)(?:\s|$)")
 NAME_TAILS = (r"\s+Τιμολόγιο.*$", r"\s+ΦΟΠ.*$", r"\s+ΑΓ\s*$")

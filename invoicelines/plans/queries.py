@@ -44,6 +44,8 @@ def scratch(spark: SparkSession) -> str:
     """A new path in the folder that the cluster shares; a temporary one only where the session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -381,18 +383,19 @@ def write_reject_table(spark, sf_dir):
     return spark.read.parquet(path).where("run_at IS NOT NULL").groupBy("account_no", "reject_reason").agg(F.count("*").alias("n"))
 
 
-@query("SELECT CAST(sum(length(replace(text, chr(10), ''))) AS BIGINT) AS n_chars, CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS n_lines FROM documents WHERE strpos(text, chr(12)) = 0 AND strpos(text, chr(13)) = 0")
+@query("""SELECT doc_id, CAST(p - 1 AS INTEGER) AS page_no, CAST(length(pages[p]) + CASE WHEN p = len(pages) THEN 1 ELSE 0 END AS INTEGER) AS n_chars
+FROM (SELECT doc_id, pages, unnest(range(1, len(pages) + 1)) AS p FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(12)) AS pages FROM documents))""")
 def read_document_files(spark, sf_dir):
+    """Every document as a file of its own, with the line end that the writer adds, and its pages."""
     path = scratch(spark)
-    docs = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("\f")) & ~F.contains("text", F.lit("\r")))
-    docs.select("text").write.text(path)
-    pages = read_documents(spark, path)
-    return pages.agg(F.sum(F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("n_chars"), F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("n_lines"))
+    table(spark, sf_dir, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    pages = read_documents(spark, f"{path}/*")
+    return pages.select(F.regexp_extract("doc_id", r"doc_id=(\d+)/", 1).cast("bigint").alias("doc_id"), F.col("page_no").cast("int").alias("page_no"), F.length("text").alias("n_chars"))
 
 
-@query()
+@query("SELECT true AS ok, CAST(NULL AS VARCHAR) AS reason, count(*) AS n FROM information_schema.tables WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations')")
 def audit_input_files(spark, sf_dir):
-    """Whether all of the given tables' files are Parquet."""
+    """Whether all of the given tables' files are Parquet; a file for each table."""
     return audit_files(spark, sf_dir, ".parquet", 1 << 28, b"PAR1").groupBy("ok", "reason").agg(F.count("*").alias("n"))
 
 

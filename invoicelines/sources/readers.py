@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +33,8 @@ def read_records(spark: SparkSession, paths: list[str], columns: list[str] | Non
             else:
                 skipped.append((path, "unsupported format"))
                 continue
-        except AnalysisException as e:
-            skipped.append((path, e.getCondition() or "unreadable"))
+        except (PySparkException, Py4JJavaError) as e:  # missing, or of an unreadable head
+            skipped.append((path, (e.getCondition() if isinstance(e, PySparkException) else None) or "unreadable"))
             continue
         rows = rows.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in rows.columns], F.lit(seq).alias("source_seq"))
         found = rows if found is None else found.unionByName(rows, allowMissingColumns=True)
@@ -43,8 +44,17 @@ def read_records(spark: SparkSession, paths: list[str], columns: list[str] | Non
 
 
 def audit_files(spark: SparkSession, path: str, suffix: str = ".pdf", max_bytes: int = 50 * 1024 * 1024, magic: bytes = b"%PDF") -> DataFrame:
-    """path, length, ok, reason of every file below the path: its suffix, its size and its first bytes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    """path, length, ok, reason of every file below the path: its suffix, its size and its first bytes.
+
+    A path that is not there is a row with the reason 'missing'. The source reads
+    whole contents, of files up to max_bytes alone.
+    """
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([(path, None, False, "missing")], "path string, length bigint, ok boolean, reason string")
     named = F.when(~F.lower("path").endswith(suffix), "suffix")
     # The size is a filter of the source: of larger files no content is read.
     small = files.where(F.col("length") <= max_bytes).select("path", "length", F.coalesce(named, F.when(F.substring("content", 1, len(magic)) != F.lit(magic), "not of this format")).alias("reason"))

@@ -25,13 +25,17 @@ def stream_extract(spark: SparkSession, source: str, out: str, checkpoint: str,
     def batch(docs: DataFrame, number: int) -> None:
         records = extract(docs)[0]
         try:
-            old = spark.read.parquet(out).where(F.col("batch") != number).select(*[F.col(k).alias(f"_{k}") for k in keys])
+            written = spark.read.parquet(out)
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            written = None  # nothing is written yet
+        if written is not None:
+            old = written.where(F.col("batch") != number).select(*[F.col(k).alias(f"_{k}") for k in keys])
             same = F.lit(True)
             for k in keys:
                 same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
             records = records.join(old, same, "left_anti")
-        except AnalysisException:  # nothing is written yet
-            pass
         records.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     stream = spark.readStream.schema(schema).parquet(source)

@@ -73,6 +73,7 @@ def test_v2018(spark):
     assert (r.supply_no, r.issue_date, r.period, r.is_final, r.category) == ("555035070018", "19/09/2018", "19/09/2018 - 18/01/2019", True, "ΦΟΠ")
     assert r.name_address.startswith("ΔΗΜΟΣ ΤΡΙΠΟΛΗΣ") and r.kwh is None and float(r.total_amount) == 387.0 and r.payment_code == "RF48 9077 3800 0300 0070 5045 6"
     assert v2018.extract_v2018(docs, same_line=True).first().kwh == 3706.0
+    assert v2018.extract_v2018(docs.withColumn("text", F.concat("text", F.lit("\n123456789012"))), known_ids=("123456789012",)).first().supply_no == "123456789012"
     assert [x[0] for x in docs.orderBy("doc_id").select(layout_score(F.col("text"))).collect()] == [3, 0, None, 0]
 
 
@@ -84,6 +85,8 @@ def test_filters(spark):
     out = filter_final(rows, order_by=["v"])
     assert sorted((r.supply_no, r.issue_date, r.v) for r in out.collect()) == [("1", "01/01/2024", 1), ("1", "01/01/2024", 3), ("2", "bad", 4)]
     assert out.columns == ["supply_no", "account_no", "issue_date", "v", "is_final"]
+    keys_only = spark.createDataFrame([("1", "a", "x"), ("1", "a", "x"), ("2", None, "x")], "supply_no string, account_no string, issue_date string")
+    assert sorted(tuple(map(str, r)) for r in records.dedup_records(keys_only).collect()) == [("1", "a", "x"), ("2", "None", "x")]
     skewed = spark.range(3000).select((F.col("id") % 3).alias("k"), "id")
     assert sorted(r.id for r in records.dedup_first(skewed, ["k"], ["id"]).collect()) == [0, 1, 2]
     assert "WindowGroupLimit" in records.dedup_first(skewed, ["k"], ["id"])._jdf.queryExecution().toString()
@@ -99,3 +102,7 @@ def test_sources(spark, tmp_path):
     assert read_records(spark, [], ["id"])[0].columns == ["id", "source_seq"]
     audit = {r.path.rpartition("/")[2]: r.reason for r in audit_files(spark, str(tmp_path), ".txt", 100, b"one").collect()}
     assert audit == {"a.txt": None, "b.csv": "suffix"}
+    assert [tuple(r)[1:] for r in audit_files(spark, f"{tmp_path}/none").collect()] == [(None, False, "missing")]
+    (tmp_path / "bad.parquet").write_bytes(b"PAR1 not really")
+    df, skipped = read_records(spark, [f"{tmp_path}/bad.parquet", f"{tmp_path}/b.csv"])
+    assert df.count() == 1 and [p for p, _ in skipped] == [f"{tmp_path}/bad.parquet"]
