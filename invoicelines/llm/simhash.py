@@ -339,26 +339,39 @@ def _pairs(fp: np.ndarray, starts: np.ndarray, bits: int, rest: np.ndarray | Non
             yield tuple(np.concatenate(found, axis=1))
 
 
-def _proposed(postings: DataFrame, by: list[str], bits: int) -> DataFrame:
-    """Of each member of a list (rows of equal columns `by`) the first other one that is near: a pair (a, b), b the smaller."""
+def _sized(n: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether two sets of such sizes can have the similarity at all."""
+    return np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
+
+
+def _proposed(postings: DataFrame, by: list[str], bits: int, similarity: float) -> DataFrame:
+    """Of each member a of a list (rows of equal columns `by`): b, the first one before it that is near, and c, the nearest one, at d bits."""
     slots = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = [c for c in postings.columns if c not in (*by, "fp")]
+    names = [c for c in postings.columns if c not in (*by, "fp", "n")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns, starts, _ in _lists(batches, None):
-            ids = columns[1]
-            first = np.full(len(ids), len(ids))
-            for i, j in _pairs(np.stack(columns[2:], axis=1).view(np.uint64), starts, bits):
+            ids, n, fp = columns[1], columns[2], np.stack(columns[3:], axis=1).view(np.uint64)
+            none = 1 << 62
+            first, nearest = np.full(len(ids), len(ids)), np.full(len(ids), none)
+            for i, j in _pairs(fp, starts, bits):
+                can = _sized(n, i, j, similarity)
+                i, j = i[can], j[can]
+                far = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=-1, dtype=np.int64) << 32
                 np.minimum.at(first, j, i)
-            own = np.flatnonzero(first < len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[first[own]])], names=["a", "b"])
+                np.minimum.at(nearest, j, far | i)
+                np.minimum.at(nearest, i, far | j)
+            own = np.flatnonzero(nearest < none)
+            before = first[own] < len(ids)
+            b = np.where(before, ids[np.minimum(first[own], len(ids) - 1)], 0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(b, mask=~before), pa.array(ids[nearest[own] & 0xFFFFFFFF]), pa.array(nearest[own] >> 32)], names=["a", "b", "c", "d"])
 
     key = F.col(by[0]) if len(by) == 1 else F.xxhash64(*by)
-    dealt = postings.select(key.alias("key"), "fp", *names).repartition(slots, "key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    dealt = postings.select(key.alias("key"), "fp", "n", *names).repartition(slots, "key").sortWithinPartitions("key", "fp")
+    return dealt.mapInArrow(run, "a bigint, b bigint, c bigint, d bigint")
 
 
-def _across(lists: DataFrame, nodes: DataFrame, names: list[str], found: DataFrame, bits: int, block: int) -> DataFrame:
+def _across(lists: DataFrame, nodes: DataFrame, names: list[str], found: DataFrame, bits: int, block: int, similarity: float) -> DataFrame:
     """All pairs (a, b) at most `bits` apart within `lists` (key, fp) whose components differ.
 
     Members outside a list's largest component are compared with all members, in
@@ -370,21 +383,21 @@ def _across(lists: DataFrame, nodes: DataFrame, names: list[str], found: DataFra
     parts = rows.groupBy("key", "label").agg(F.count("*").alias("m"))
     parts = parts.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "label")).alias("most")).where("n > most.m")
     grid = parts.select("key", F.col("most.label").alias("main"), F.ceil(F.col("n") / block).cast("int").alias("wide"), F.ceil((F.col("n") - F.col("most.m")) / block).cast("int").alias("high"))
-    rows = rows.join(grid, "key").join(nodes.select("fp", *names), "fp").withColumn("other", F.col("label") != F.col("main"))
+    rows = rows.join(grid, "key").join(nodes.select("fp", "n", *names), "fp").withColumn("other", F.col("label") != F.col("main"))
     own = F.pmod(F.xxhash64("fp"), F.col("wide")).cast("int")
     own_high = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("high")).cast("int")
-    members = rows.select("key", own.alias("x"), F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("y"), "fp", "label", F.lit(False).alias("other"), *names)
-    others = rows.where("other").select("key", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("x"), own_high.alias("y"), "fp", "label", "other", *names)
+    members = rows.select("key", own.alias("x"), F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("y"), "fp", "label", F.lit(False).alias("other"), "n", *names)
+    others = rows.where("other").select("key", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("x"), own_high.alias("y"), "fp", "label", "other", "n", *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns, starts, _ in _lists(batches, None):
-            ids, labels, other = columns[1:4]
-            for i, j in _pairs(np.stack(columns[4:], axis=1).view(np.uint64), starts, bits, other.astype(bool)):
-                kept = labels[i] != labels[j]
+            ids, labels, other, n = columns[1:5]
+            for i, j in _pairs(np.stack(columns[5:], axis=1).view(np.uint64), starts, bits, other.astype(bool)):
+                kept = (labels[i] != labels[j]) & _sized(n, i, j, similarity)
                 a, b = ids[i[kept]], ids[j[kept]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
-    cells = members.unionByName(others).select(F.xxhash64("key", "x", "y").alias("key"), "fp", "label", F.col("other").cast("int").alias("other"), *names)
+    cells = members.unionByName(others).select(F.xxhash64("key", "x", "y").alias("key"), "fp", "label", F.col("other").cast("int").alias("other"), "n", *names)
     return cells.repartition(slots, "key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -409,24 +422,27 @@ def verified(edges: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: f
 def near_components(nodes: DataFrame, texts: DataFrame, similarity: float, shingle: int, words: int, block: int = BLOCK) -> DataFrame:
     """node, component as components() gives them, of links verified on the texts' shingles.
 
-    nodes: fp, least, f0, f1, ..., a row for each set of shingles; texts: id, text. Each
-    node is first verified against one that is near in some list (lists longer than
-    `block` are dealt in blocks that share their first member). In lists that hold
-    several components then, all near pairs across them are verified too.
+    nodes: fp, least, n (shingles), f0, f1, ..., a row for each set of shingles; texts: id, text. Each
+    node is first verified against one that is near in some list and against the nearest
+    (lists longer than `block` are dealt in blocks that share their first member). In lists
+    that hold several components then, all near pairs across them are verified too.
+    Pairs whose sizes rule the similarity out are never looked at.
     """
     bits, names, spark = allowed_bits(similarity, words), [f"f{k}" for k in range(words)], nodes.sparkSession
     shared, shared_at = stored(_several(_keyed(nodes, names), block), "simhash")
-    with_words = nodes.select("fp", *names)
-    near = _proposed(shared.where("NOT long").select("key", "fp").join(with_words, "fp").select("key", "fp", *names), ["key"], bits)
+    with_words = nodes.select("fp", "n", *names)
+    near = _proposed(shared.where("NOT long").select("key", "fp").join(with_words, "fp").select("key", "fp", "n", *names), ["key"], bits, similarity)
     long = shared.where("long").select("key", "fp")
     if not long.isEmpty():
         sizes = long.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("wide"), F.min("fp").alias("hub"))
         own = F.array(F.pmod(F.xxhash64("fp"), F.col("wide")).cast("int"))
         dealt = long.join(sizes, "key").withColumn("x", F.explode(F.when(F.col("fp") == F.col("hub"), F.sequence(F.lit(0), F.col("wide") - 1)).otherwise(own)))
-        near = near.union(_proposed(dealt.join(with_words, "fp").select("key", "x", "fp", *names), ["key", "x"], bits))
-    first, _ = stored(near.groupBy("a").agg(F.min("b").alias("b")), "simhash")
+        near = near.union(_proposed(dealt.join(with_words, "fp").select("key", "x", "fp", "n", *names), ["key", "x"], bits, similarity))
+    near = near.groupBy("a").agg(F.min("b").alias("b"), F.min(F.struct("d", "c")).alias("nearest"))
+    near = near.select("a", F.explode(F.array("b", "nearest.c")).alias("b")).where("b IS NOT NULL")
+    first, _ = stored(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "simhash")
     links, _ = stored(verified(first, nodes, texts, similarity, shingle), "simhash")
-    tried, _ = stored(_across(shared.select("key", "fp"), nodes, names, components(links), bits, block).join(first, ["a", "b"], "left_anti"), "simhash")
+    tried, _ = stored(_across(shared.select("key", "fp"), nodes, names, components(links), bits, block, similarity).join(first, ["a", "b"], "left_anti"), "simhash")
     if not tried.isEmpty():
         links, _ = stored(links.union(verified(tried, nodes, texts, similarity, shingle)), "simhash")
     drop_stored(spark, shared_at)
@@ -477,15 +493,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", simi
         for b in batches:
             sets = [shingle_set(t, shingle) for t in b.column(2).cast(pa.binary()).to_pylist()]
             f = np.array([_bits(iter((x,)), words) for x in sets], np.uint64).reshape(len(sets), words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_number(x) for x in sets], pa.int64()), *map(pa.array, np.ascontiguousarray(f.T))], names=["id", "body", "fp", *names])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_number(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *map(pa.array, np.ascontiguousarray(f.T))], names=["id", "body", "fp", "n", *names])
 
     plain = [f"c{i}" for i in range(len(docs.columns))]  # none can clash with what is computed here
     rows = docs.toDF(*plain)
     id_, body = F.col(plain[docs.columns.index(id_col)]), F.col(plain[docs.columns.index(text)]).cast("string")
-    fields = [f"id {rows.select(id_).schema[0].dataType.simpleString()}", "body bigint", "fp bigint", *[f"{c} bigint" for c in names]]
+    fields = [f"id {rows.select(id_).schema[0].dataType.simpleString()}", "body bigint", "fp bigint", "n bigint", *[f"{c} bigint" for c in names]]
     marked, marked_at = stored(rows.select(id_.alias("id"), F.xxhash64(body).alias("body"), body.alias("text")).mapInArrow(run, ", ".join(fields)), "simhash")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "body"))
-    nodes, _ = stored(marked.groupBy("fp").agg(least.alias("least"), *[F.first(c).alias(c) for c in names]), "simhash")
+    nodes, _ = stored(marked.groupBy("fp").agg(least.alias("least"), *[F.first(c).alias(c) for c in ("n", *names)]), "simhash")
     drop_stored(spark, marked_at)
     found = near_components(nodes, rows.select(id_.alias("id"), body.alias("text")), similarity, shingle, words, block)
     kept = _least(nodes, found).select("component_id.id", "component_id.body").distinct().toDF("kept_id", "kept_body")

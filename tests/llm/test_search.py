@@ -309,12 +309,12 @@ def test_rows_of_a_near_group_are_linear(spark):
         texts.append(" ".join(w))
     names = [f"f{k}" for k in range(simhash.WORDS)]
     sets = [simhash.shingle_set(t.encode(), 5) for t in texts]
-    rows = {simhash._number(x): (simhash._number(x), *[simhash._signed(v) for v in simhash._bits(iter((x,)), simhash.WORDS)]) for x in sets}
-    nodes = spark.createDataFrame(list(rows.values()), ", ".join(f"{c} bigint" for c in ["fp", *names]))
+    rows = {simhash._number(x): (simhash._number(x), len(x), *[simhash._signed(v) for v in simhash._bits(iter((x,)), simhash.WORDS)]) for x in sets}
+    nodes = spark.createDataFrame(list(rows.values()), ", ".join(f"{c} bigint" for c in ["fp", "n", *names]))
     several = simhash._several(simhash._keyed(nodes, names), 64).cache()
     postings = several.count()
     assert postings <= simhash.KEYS * len(rows) and {r.long for r in several.select("long").distinct().collect()} == {True, False}
-    found = simhash._proposed(several.select("key", "fp").join(nodes, "fp").select("key", "fp", *names), ["key"], simhash.allowed_bits(0.8, simhash.WORDS))
+    found = simhash._proposed(several.select("key", "fp").join(nodes, "fp").select("key", "fp", "n", *names), ["key"], simhash.allowed_bits(0.8, simhash.WORDS), 0.8)
     assert 0 < found.count() <= postings
     one = nodes.select(F.col("fp").alias("node"), F.lit(min(rows)).alias("component"))
-    assert simhash._across(several.select("key", "fp"), nodes, names, one, 110, 64).count() == 0
+    assert simhash._across(several.select("key", "fp"), nodes, names, one, 110, 64, 0.8).count() == 0
