@@ -27,7 +27,7 @@ ODD = [None, "", "  \n", "!!! 123", "x " * 40_000, "One one ÉCOLE"]
 def test_seating_has_the_sequential_mean():
     rng = np.random.default_rng(1)
     c, others, base, d = 60, 2.0, 0.3, 0.6
-    mean = pitman_yor.seat(np.full(4000, c), np.full(4000, others), np.full(4000, base), np.full(4000, d), rng).mean()
+    mean = pitman_yor.seat(np.full(4000, c), np.full(4000, others), np.full(4000, base), np.full(4000, d), pitman_yor.Draws(1, np.arange(4000))).mean()
     total = 0
     for _ in range(4000):
         t = 1
@@ -36,7 +36,7 @@ def test_seating_has_the_sequential_mean():
             t += rng.random() < open_ / (open_ + sit)
         total += t
     assert abs(mean - total / 4000) < 0.25
-    assert pitman_yor.seat(np.array([0, 1]), np.ones(2), np.ones(2), np.full(2, 0.5), rng).tolist() == [0, 1]
+    assert pitman_yor.seat(np.array([0, 1]), np.ones(2), np.ones(2), np.full(2, 0.5), pitman_yor.Draws(np.arange(2))).tolist() == [0, 1]
 
 
 def test_grams():
@@ -79,16 +79,63 @@ def test_language_model(spark, corpus):
 
 def test_probabilities_sum_to_one(spark, corpus):
     docs = spark.createDataFrame([(True, t) for t in corpus[:40]] + [(False, "unseen kalokalo zzz")], "learn boolean, text string")
-    sizes, matrix, words = pitman_yor.train(docs, 1, 1, 20)
-    assert np.allclose(matrix.sum(axis=1), 1.0)
+    sizes, contexts, words = pitman_yor.train(docs, 1, 1, 20)
+    assert contexts.roots.shape == (pitman_yor.CONTEXT_SAMPLES, 22) and np.allclose(contexts.roots.sum(axis=1), 1.0)
+    for r in contexts.rows.collect():
+        unseen = np.setdiff1d(np.arange(22), r.s)
+        assert abs(sum(r.p) + (np.array(r.ways) @ contexts.roots[:, unseen]).sum() / len(r.ways) - 1) < 1e-9
     rare = [(r.n, r.p) for r in words.where("p IS NOT NULL").collect()]
     assert abs(sum(p for n, p in rare if n > 0) + sizes.unknown - 1.0) < 1e-6 and all(p > 0 for _, p in rare)
 
 
+def test_every_word_is_a_context(spark, corpus):
+    """The counts of all pairs of context and dish, against a loop over the texts."""
+    symbols = {b"ka": 2, b"lo": 3}
+    docs = spark.createDataFrame([(True, t) for t in [*corpus, "", None, "zzz"]], "learn boolean, text string").repartition(5)
+    got = {(r.r, r.s): r.n for r in pitman_yor.pair_counts(docs, symbols, 4).collect()}
+    want = Counter()
+    for t in [*corpus, "", "", "zzz"]:
+        ws = t.encode().split() + [b""]
+        for last, w in zip([b"", *ws], ws, strict=False):
+            want[int(pitman_yor.context_ids([last])[0]), 0 if w == b"" else symbols.get(w, 1)] += 1
+    assert got == want
+
+
+def test_scores_are_the_models_whatever_is_held(spark, corpus):
+    """Scores by hand from the model's tables; held words, held pairs and partitions change nothing."""
+    texts = [*corpus[:30], "ka zzz ka ka lo zzz", "", None, "unseen unseen ka"]
+    rows = [(i, i % 5 != 0, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, learn boolean, text string")
+    sizes, contexts, words = model = pitman_yor.train(docs.repartition(3), 1, 2, 20)
+    table = {r.r: r for r in contexts.rows.collect()}
+    known = {r.word.encode(): r for r in words.collect()}
+
+    def log(last, w):
+        s = 0 if w == b"" else sizes.symbols.get(w, 1)
+        r = table.get(int(pitman_yor.context_ids([last])[0]))
+        if r is None:
+            p = contexts.roots[:, s].mean()
+        else:
+            p = dict(zip(r.s, r.p, strict=True)).get(s) or (np.array(r.ways) * contexts.roots[:, s]).mean()
+        return np.log10(p) + (np.log10(known[w].p if known[w].n else sizes.unknown) if s == 1 else 0)
+
+    want = {}
+    for i, _, t in rows:
+        ws = (t or "").encode().split() + [b""]
+        want[i] = sum(log(last, w) for last, w in zip([b"", *ws], ws, strict=False))
+    for held_words, most_pairs, parts in ((10**5, 10**6, 2), (25, 60, 3), (0, 0, 16)):
+        got = {r.doc_id: r.score for r in pitman_yor.score(docs.repartition(parts), model, held_words, most_pairs).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+    again = pitman_yor.train(docs.repartition(16), 1, 2, 20)
+    assert np.allclose(again[1].trace, contexts.trace) and np.allclose(again[1].roots, contexts.roots) and abs(again[0].unknown - sizes.unknown) < 1e-12
+    assert {r.word: r.p for r in again[2].collect()} == pytest.approx({w.decode(): r.p for w, r in known.items()})
+    assert contexts.trace[-1] > contexts.trace[0] - 0.05
+
+
 def test_both_spellers_agree(spark):
     words = spark.createDataFrame([("kalo", 3, 1, 0.0), ("kamika", 1, 1, 0.0), ("lo", 9, 2, 0.0), ("zäz", 0, 0, 0.0), ("kalokalo", 0, 0, 0.0)], "word string, n bigint, t bigint, p_sum double")
     own = pitman_yor.spelled_counts(words).withColumn("level", pitman_yor._level(F.col("r")))
-    state, _ = pitman_yor.sweep(own, pitman_yor.sweep(own, None, 10, 0)[0], 10, 1)
+    state, _ = pitman_yor.sweep(own, pitman_yor.sweep(own, None, 0)[0], 1)
     held, joined = ({r.word: r.spell for r in pitman_yor.respelled(words, state, 4, 1, h).collect()} for h in (10**7, 0))
     assert held.keys() == joined.keys() and all(abs(held[w] / joined[w] - 1) < 1e-9 for w in held)
     # By hand, from the state's rows.
