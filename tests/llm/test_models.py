@@ -24,9 +24,10 @@ ODD = [None, "", "  \n", "!!! 123", "x " * 40_000, "One one ÉCOLE"]
 # Operator 1
 
 
-def test_seating_has_the_sequential_mean():
+@pytest.mark.parametrize("c,base,near", [(60, 0.3, 0.25), (1500, 0.3, 1.5), (1500, 0.002, 0.1)])
+def test_seating_has_the_sequential_mean(c, base, near):
     rng = np.random.default_rng(1)
-    c, others, base, d = 60, 2.0, 0.3, 0.6
+    others, d = 2.0, 0.6
     mean = pitman_yor.seat(np.full(4000, c), np.full(4000, others), np.full(4000, base), np.full(4000, d), pitman_yor.Draws(1, np.arange(4000))).mean()
     total = 0
     for _ in range(4000):
@@ -35,7 +36,7 @@ def test_seating_has_the_sequential_mean():
             open_, sit = (others + d * t) * base, n - d * t
             t += rng.random() < open_ / (open_ + sit)
         total += t
-    assert abs(mean - total / 4000) < 0.25
+    assert abs(mean - total / 4000) < near
     assert pitman_yor.seat(np.array([0, 1]), np.ones(2), np.ones(2), np.full(2, 0.5), pitman_yor.Draws(np.arange(2))).tolist() == [0, 1]
 
 
