@@ -53,15 +53,15 @@ def work_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def computed_beside(docs: DataFrame, read: str, keep: list[str] | None, new: dict[str, str], run: Callable) -> DataFrame:
+def computed_beside(docs: DataFrame, read: str, keep: list[str] | None, new: dict[str, str], run: Callable, kind: str = "string") -> DataFrame:
     """The columns `keep` (default all) and the new ones (name: type), computed by run(batches, kept).
 
     A batch's first `kept` columns are to be passed on as they are, the next is
-    the column `read`. A kept column of a new one's name gives way to it.
+    the column `read` as `kind`. A kept column of a new one's name gives way to it.
     """
     taken = {c.lower() for c in new}
     kept = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in taken]
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.col(f"`{read}`").cast("string").alias("read"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.col(f"`{read}`").cast(kind).alias("read"))
     fields = [*[f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rows.schema.fields[:-1])], *[f"n{i} {t}" for i, t in enumerate(new.values())]]
     names, n = [f.split(" ")[0] for f in fields], len(kept)
 
