@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..patterns import COMMERCIAL, FARMING, FARMING_WORD, INDUSTRIAL, KWH, REPAIRS, SIMPLE, SPAN, TRUE_WORDS, u
 
 
+#: Never part of a text (a noncharacter): stands between groups of a match.
+BETWEEN = "\uffff"
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(c, u(r"^\s+|\s+$"), "")
@@ -17,9 +23,28 @@ def none_if_empty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), with c evaluated once.
+
+    What f makes is interpreted instead of compiled. Many patterns in one row are
+    best evaluated so: compiled, they are methods beyond the size (8,000 bytes)
+    up to which the JVM optimises them, and all their time is in the patterns.
+    """
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def found(c: Column, pattern: str, flags: str = "", group: int = 1) -> Column:
-    """The group of the pattern's first match as it is; null without a match. Evaluated once, unlike nullif(regexp_extract)."""
-    return F.get(F.regexp_extract_all(c, F.lit(u(pattern, flags)), F.lit(group)), F.lit(0))
+    """The group of the pattern's first match as it is; null without a match (or where the group is empty).
+
+    The search ends at the first match and runs once, unlike nullif(regexp_extract).
+    """
+    return F.get(F.filter(F.array(F.regexp_extract(c, u(pattern, flags), group)), lambda x: x != ""), F.lit(0))
+
+
+def groups(c: Column, pattern: str, n: int) -> Column:
+    """All n groups of a pattern that is anchored at the text's start, as an array, by one match; null without a match."""
+    parts = F.split(F.regexp_replace(c, u(f"{pattern}(?s:.*)"), BETWEEN.join(f"${k}" for k in range(1, n + 1))), BETWEEN, -1)
+    return F.get(F.filter(F.array(parts), lambda x: F.size(x) == n), F.lit(0))
 
 
 def first_match(c: Column, patterns: tuple[str, ...] | list[str], flags: str = "", group: int = 1) -> Column:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import confidence, first_match, found, infer_subcategory, parse_dotted_period, review_reason, strip
+from ..functions import confidence, first_match, groups, infer_subcategory, parse_dotted_period, review_reason, strip
 from ..patterns import COMMERCIAL, NOISE, RECEIPT, RESIDENTIAL, RESIDENTIAL_CODES, ROW1, ROW2, ROW3, ROW3_BARE, STORE, TARIFF, WRAP_CODE, u
-from .blocks import assemble_blocks, first_block, wraps
+from .blocks import document_blocks, gather_lines, kept_lines, wraps
 from .records import dedup_first, duplicates
-from .text import drop_noise_lines
+from .text import noise
 
 KEY = ("supply_no", "account_no", "issue_date", "period")
 
@@ -22,16 +22,18 @@ def extract_row1(blocks: DataFrame, mode: str = "reference") -> DataFrame:
     blanks separate columns and names of several words survive.
     """
     line = F.col("line1") if mode == "reference" else strip(F.col("raw1"))
-    group = [F.regexp_extract(line, u("^" + ROW1), k) for k in range(1, 8)]
-    out = blocks.withColumns({"supply_no": group[0], "account_no": group[1], "issue_date": group[2], "period": group[3], "name_address": strip(F.concat_ws(" ", strip(group[4]), strip(group[5]))), "city": strip(group[6])})
+    out = blocks.withColumn("_row1", groups(line, "^" + ROW1, 7))
+    # A raw line may lack the columns that its normalised form has.
+    group = [F.when(F.col("line1").isNotNull(), F.coalesce(F.get("_row1", F.lit(k)), F.lit(""))) for k in range(7)]
+    out = out.withColumns({"supply_no": group[0], "account_no": group[1], "issue_date": group[2], "period": group[3], "name_address": F.when(F.col("line1").isNotNull(), strip(F.concat_ws(" ", strip(group[4]), strip(group[5])))), "city": strip(group[6])})
     start, end = parse_dotted_period(F.col("period"))
-    return out.withColumns({"date_from": start, "date_to": end})
+    return out.withColumns({"date_from": start, "date_to": end}).drop("_row1")
 
 
 def classify_category(blocks: DataFrame) -> DataFrame:
     """Adds category, raw_code, raw_label from the second row, or from a wrapped category inside the block."""
-    code, label = (found(F.col("line2"), ROW2, group=k) for k in (1, 2))
-    out = blocks.withColumns({"raw_code": code, "raw_label": label})
+    out = blocks.withColumn("_row2", groups(F.col("line2"), ROW2, 2))
+    out = out.withColumns({"raw_code": F.get("_row2", F.lit(0)), "raw_label": F.get("_row2", F.lit(1))}).drop("_row2")
     residential = F.col("raw_code").isin(*RESIDENTIAL_CODES) | (~(F.col("raw_code").startswith("Γ") & (F.col("raw_label") == COMMERCIAL)) & (F.col("raw_label") == TARIFF))
     wrapped = F.col("raw_code").isNull() & wraps(F.col("line2"), F.col("line3"))
     return out.withColumns({
@@ -44,8 +46,9 @@ def classify_category(blocks: DataFrame) -> DataFrame:
 def extract_readings(blocks: DataFrame) -> DataFrame:
     """Adds last_reading, prev_reading, multiplier, reading_diff, and is_final: the third row could be read."""
     names = ("last_reading", "prev_reading", "multiplier", "reading_diff")
-    value = [F.coalesce(*[found(F.col("line3"), p, group=k) for p in (ROW3, ROW3_BARE)]) for k in range(1, 5)]
-    return blocks.withColumns({**{n: c.try_cast("bigint") for n, c in zip(names, value, strict=True)}, "is_final": value[0].isNotNull()})
+    out = blocks.withColumn("_row3", F.coalesce(groups(F.col("line3"), ROW3, 4), groups(F.col("line3"), ROW3_BARE, 4)))
+    out = out.withColumns({n: F.get("_row3", F.lit(k)).try_cast("bigint") for k, n in enumerate(names)})
+    return out.withColumn("is_final", F.when(F.col("line1").isNotNull(), F.col("_row3").isNotNull())).drop("_row3")
 
 
 def extract_context(df: DataFrame, *text: str) -> DataFrame:
@@ -67,18 +70,26 @@ COLUMNS = (
 )
 
 
-def parse_blocks(blocks: DataFrame, mode: str = "reference", threshold: float = 0.90) -> DataFrame:
-    """A record per block, duplicates included."""
+def parse_blocks(blocks: DataFrame, mode: str = "reference", threshold: float = 0.90, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A record per block, duplicates included, and the columns `keep`."""
     out = extract_context(extract_readings(classify_category(extract_row1(blocks, mode))), "line1", "line2", "line3")
     out = out.withColumn("subcategory", infer_subcategory(F.col("category"), F.col("multiplier"), F.concat_ws(" ", "line1", "line2", "line3")))
-    return score_records(out.withColumn("layout", F.lit("modern")), threshold).select(*COLUMNS)
+    return score_records(out.withColumn("layout", F.lit("modern")), threshold).select(*COLUMNS, *keep)
 
 
-def extract_modern(lines: DataFrame, profile: str = "modern", mode: str = "reference", first_only: bool = False, threshold: float = 0.90) -> tuple[DataFrame, DataFrame]:
-    """Records and rejects (duplicates on KEY but the first) of lines: doc_id, line_no, line."""
-    blocks = assemble_blocks(drop_noise_lines(lines, patterns=NOISE[profile]))
-    records = parse_blocks(first_block(blocks) if first_only else blocks, mode, threshold)
+def modern_records(docs: DataFrame, text: str = "text", profile: str = "modern", mode: str = "reference", first_only: bool = False, threshold: float = 0.90) -> DataFrame:
+    """A record per block of the documents (doc_id, text), duplicates included. Nothing is shuffled."""
+    kept = docs.select("doc_id", kept_lines(F.col(text), NOISE[profile]).alias("lines"))
+    return parse_blocks(document_blocks(kept, first_only=first_only), mode, threshold)
+
+
+def extract_modern(docs: DataFrame, profile: str = "modern", mode: str = "reference", first_only: bool = False, threshold: float = 0.90) -> tuple[DataFrame, DataFrame]:
+    """Records and rejects (duplicates on KEY but the first) of documents (doc_id, text) or of lines (doc_id, line_no, line). Of documents, only the records' keys are shuffled."""
+    if "line" in docs.columns:
+        kept = gather_lines(docs.where(~noise(F.col("line"), NOISE[profile])))
+        records = parse_blocks(document_blocks(kept, first_only=first_only), mode, threshold)
+    else:
+        records = modern_records(docs, "text", profile, mode, first_only, threshold)
     order = ["doc_id", "block_no"]
     rejects = duplicates(records, list(KEY), order).select(*order, *KEY, F.lit("duplicate").alias("reject_reason"), "layout")
     return dedup_first(records, list(KEY), order), rejects
-

@@ -16,18 +16,43 @@ def filter_truthy(df: DataFrame, col: str = "is_final") -> DataFrame:
     return df.where(is_truthy(F.col(col))) if col in df.columns else df
 
 
-def _placed(df: DataFrame, keys: list[str], order_by: list) -> DataFrame:
-    return df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by)))
+def _new_name(df: DataFrame, name: str) -> str:
+    """A name that no column of `df` has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def dedup_first(df: DataFrame, keys: list[str], order_by: list) -> DataFrame:
     """The first row of each key in the given order; nulls are equal. Limited before the shuffle, so a frequent key is not skewed."""
-    return _placed(df, keys, order_by).where("_place = 1").drop("_place")
+    place = _new_name(df, "place")
+    return df.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by))).where(F.col(place) == 1).drop(place)
+
+
+def flag_repeated(df: DataFrame, keys: list[str], order_by: list, name: str = "repeated", when: Column | None = None, spread: int = 64) -> DataFrame:
+    """Adds `name`: whether the row is not the first of its key in the given order; nulls are equal. Rows where `when` is not true are never repeated.
+
+    A frequent key's rows are first placed in `spread` groups of their order;
+    only each group's first row goes on to the key's own place, the others, which
+    are repeated already, stay spread. So no key is one task, and rows are parsed once.
+    """
+    salt, local = _new_name(df, "salt"), _new_name(df, "local")
+    counted = F.coalesce(when, F.lit(False)) if when is not None else F.lit(True)
+    order = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    rows = df.withColumn(salt, F.pmod(F.xxhash64(*order), F.lit(spread)))
+    if when is not None:  # rows that don't count lie anywhere
+        rows = rows.withColumn(salt, F.when(counted, F.col(salt)).otherwise(spread + F.pmod(F.xxhash64(*order), F.lit(1 << 40))))
+    rows = rows.withColumn(local, F.row_number().over(Window.partitionBy(*keys, salt).orderBy(*order)))
+    rows = rows.withColumn(salt, F.when(counted & (F.col(local) == 1), F.lit(-1).cast("bigint")).otherwise(F.col(salt)))
+    place = F.row_number().over(Window.partitionBy(*keys, salt).orderBy(local, *order))
+    return rows.withColumn(name, counted & ((F.col(local) > 1) | (place > 1))).drop(salt, local)
 
 
 def duplicates(df: DataFrame, keys: list[str], order_by: list) -> DataFrame:
-    """What dedup_first() leaves out."""
-    return _placed(df, keys, order_by).where("_place > 1").drop("_place")
+    """What dedup_first() leaves out. A frequent key is split over tasks."""
+    name = _new_name(df, "repeated")
+    return flag_repeated(df, keys, order_by, name).where(F.col(name)).drop(name)
 
 
 def dedup_records(df: DataFrame, keys: tuple[str, ...] = ("supply_no", "account_no", "issue_date"), order_by: list | None = None) -> DataFrame:
@@ -73,15 +98,22 @@ def count_by(df: DataFrame, col: str = "layout") -> DataFrame:
     return df.groupBy(col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), col)
 
 
+def summary_of(kept: Column, repeated: Column) -> list[Column]:
+    """The counts of run_summary(), by whether a row is a record (kept) or a duplicate; also for observing rows while they are written."""
+    count = lambda c: F.count_if(kept & c)
+    return [
+        F.count_if(kept).alias("n_records"), F.count_if(repeated).alias("n_duplicates"), count(F.col("needs_review")).alias("n_review"),
+        count(F.col("category") == RESIDENTIAL).alias("n_residential"), count(F.col("category") == COMMERCIAL).alias("n_commercial"),
+        count(F.col("raw_code").isin(*RESIDENTIAL_CODES[1:])).alias("n_code_variants"), count(F.col("raw_code") == WRAP_CODE).alias("n_wraps"),
+        count(F.col("store").isNotNull()).alias("n_store"), count(F.col("receipt_no").isNotNull()).alias("n_receipt"),
+    ]
+
+
 def run_summary(records: DataFrame, rejects: DataFrame) -> DataFrame:
     """One row of counts of a run."""
-    both = records.withColumn("_kept", F.lit(True)).unionByName(rejects.select(F.lit(False).alias("_kept")), allowMissingColumns=True)
-    return both.agg(
-        F.count_if("_kept").alias("n_records"), F.count_if(~F.col("_kept")).alias("n_duplicates"), F.count_if("needs_review").alias("n_review"),
-        F.count_if(F.col("category") == RESIDENTIAL).alias("n_residential"), F.count_if(F.col("category") == COMMERCIAL).alias("n_commercial"),
-        F.count_if(F.col("raw_code").isin(*RESIDENTIAL_CODES[1:])).alias("n_code_variants"), F.count_if(F.col("raw_code") == WRAP_CODE).alias("n_wraps"),
-        F.count("store").alias("n_store"), F.count("receipt_no").alias("n_receipt"),
-    )
+    kept = _new_name(records, "kept")
+    both = records.withColumn(kept, F.lit(True)).unionByName(rejects.select(F.lit(False).alias(kept)), allowMissingColumns=True)
+    return both.agg(*summary_of(F.col(kept), ~F.col(kept)))
 
 
 def quality_profile(df: DataFrame, required: tuple[str, ...] = ("supply_no", "issue_date", "category")) -> DataFrame:

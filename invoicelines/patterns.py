@@ -36,6 +36,7 @@ ANCHORS = (r"Ο\s+λογαριασμός\s+σας\s+συνοπτικ[άα]", r"
 SUPPLY = (r"(\d\s+\d{10}[-\s]\d{1,2})", r"(\d{1,2}\s+\d{10,11}[-\s]\d{1,2})", r"(\d{12})")
 NAME = (r"(ΔΗΜΟΣ\s+[A-ZΆ-ώ\s]+?)(?:\s|$)", r"([A-ZΆ-ώ]+\s+[A-ZΆ-ώ\s]+?)(?:\s|$)")
 NAME_TAILS = (r"\s+Τιμολόγιο.*$", r"\s+ΦΟΠ.*$", r"\s+ΑΓ\s*$")
+TOWNS = ("ΛΑΣ", "ΑΘΗΝΑ", "ΘΕΣΣΑΛΟΝΙΚΗ")
 ADDRESS = (r"Διεύθυνση\s+Ακινήτου\s+([A-ZΆ-ώ\s]+?)(?:\s|$)", r"(\d{3}\s+\d{2}\s+[A-ZΆ-ώ\s]+(?:ΛΑΣ|ΑΘΗΝΑ|ΘΕΣΣΑΛΟΝΙΚΗ))", r"(ΑΓ\.\s*[A-ZΆ-ώ\s]+?)(?:\s|$)", r"([A-ZΆ-ώ\s]+(?:ΛΑΣ|ΑΘΗΝΑ|ΘΕΣΣΑΛΟΝΙΚΗ))")
 ISSUED, ANY_DATE = r"Ημερομηνία\s+Έκδοσης", r"(\d{2}/\d{2}/\d{4})"
 PERIOD = r"(\d{2}/\d{2}/\d{4}\s*-\s*\d{2}/\d{2}/\d{4})"

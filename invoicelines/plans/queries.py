@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from ..operators import blocks, layout, modern, records, text, v2018
 from ..patterns import NOISE
-from ..sources import audit_files, read_documents, read_records, write_filtered, write_records, write_rejects, write_stats
+from ..sources import audit_files, output_path, read_documents, read_records, write_filtered, write_records, write_rejects, write_run, write_stats
 from ..streaming import stream_extract, stream_format_counts
-from .pipeline import extract, filter_final
+from .pipeline import extract, filter_final, judged
 from .rendering import doubled, orders, render_modern, render_v2018
 
 QUERIES: dict = {}
@@ -51,6 +51,10 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def modern_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render_modern(spark, sf_dir).select("doc_id", fn.collapse_doubled(F.col("text")).alias("text"))
+
+
 def modern_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = render_modern(spark, sf_dir)
     return text.explode_lines(docs.select("doc_id", fn.collapse_doubled(F.col("text")).alias("text")))
@@ -156,23 +160,23 @@ RECORD = ", ".join(c for c in modern.COLUMNS if c != "block_no")
 
 @query(f"SELECT {RECORD} FROM ({MODERN})")
 def records_modern(spark, sf_dir):
-    return modern.extract_modern(modern_lines(spark, sf_dir))[0].drop("block_no")
+    return modern.extract_modern(modern_docs(spark, sf_dir))[0].drop("block_no")
 
 
 @query(f"SELECT {RECORD} FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS place FROM ({MODERN})) WHERE place = 1")
 def records_enhanced(spark, sf_dir):
-    return modern.extract_modern(modern_lines(spark, sf_dir), profile="enhanced", first_only=True)[0].drop("block_no")
+    return modern.extract_modern(modern_docs(spark, sf_dir), profile="enhanced", first_only=True)[0].drop("block_no")
 
 
 @query(f"SELECT {RECORD} FROM ({MODERN})")
 def records_columns_mode(spark, sf_dir):
     """The raw line's columns instead of the normalised line's words; the same where every column is one word."""
-    return modern.extract_modern(modern_lines(spark, sf_dir), mode="columns")[0].drop("block_no")
+    return modern.extract_modern(modern_docs(spark, sf_dir), mode="columns")[0].drop("block_no")
 
 
 @query(f"SELECT doc_id, supply_no, account_no, issue_date, period, 'duplicate' AS reject_reason, 'modern' AS layout FROM ({MODERN}) WHERE k % 11 = 0")
 def rejects_modern(spark, sf_dir):
-    return modern.extract_modern(modern_lines(spark, sf_dir))[1].drop("block_no")
+    return modern.extract_modern(modern_docs(spark, sf_dir))[1].drop("block_no")
 
 
 @query(f"SELECT * EXCLUDE (k) FROM ({V2018})")
@@ -251,9 +255,13 @@ def scalar_scores(spark, sf_dir):
 UNIFIED = "doc_id, supply_no, account_no, issue_date, category, is_final, date_from, date_to, layout"
 
 
-def unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = render_modern(spark, sf_dir).union(render_v2018(spark, sf_dir)).union(orders(spark, sf_dir).select(F.concat(F.lit("u"), "o_orderkey"), F.lit(None).cast("string")))
-    return extract(docs)
+def all_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both renderings, and a document without a text for each order."""
+    return render_modern(spark, sf_dir).union(render_v2018(spark, sf_dir)).union(orders(spark, sf_dir).select(F.concat(F.lit("u"), "o_orderkey"), F.lit(None).cast("string")))
+
+
+def unified(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return extract(all_docs(spark, sf_dir))
 
 
 @query(f"SELECT {UNIFIED} FROM ({MODERN}) UNION ALL SELECT {UNIFIED} FROM ({V2018})")
@@ -268,7 +276,7 @@ def rejects_unified(spark, sf_dir):
 
 @query(f"SELECT supply_no, account_no, issue_date, category FROM ({MODERN}) WHERE is_final")
 def final_bills(spark, sf_dir):
-    found = modern.parse_blocks(blocks.assemble_blocks(text.drop_noise_lines(modern_lines(spark, sf_dir))))
+    found = modern.modern_records(modern_docs(spark, sf_dir))
     rows = found.withColumns({" Αφμ ": F.lit("123456789"), "issue_date": F.replace("issue_date", F.lit("/"), F.lit("-"))})
     return filter_final(rows, order_by=["doc_id", "block_no"]).select("supply_no", "account_no", "issue_date", "category")
 
@@ -320,7 +328,7 @@ def layout_counts(spark, sf_dir):
 @query(f"""SELECT count(*) AS n_records, count(*) FILTER (WHERE k % 11 = 0) AS n_duplicates, CAST(0 AS BIGINT) AS n_review, count(*) FILTER (WHERE category = 'ΦΟΠ') AS n_residential, count(*) FILTER (WHERE category <> 'ΦΟΠ') AS n_commercial,
 count(*) FILTER (WHERE raw_code = 'Φ.Ο.Π') AS n_code_variants, count(*) FILTER (WHERE raw_code = 'Γ-wrap') AS n_wraps, CAST(0 AS BIGINT) AS n_store, CAST(0 AS BIGINT) AS n_receipt FROM ({MODERN})""")
 def run_summary(spark, sf_dir):
-    return records.run_summary(*modern.extract_modern(modern_lines(spark, sf_dir)))
+    return records.run_summary(*modern.extract_modern(modern_docs(spark, sf_dir)))
 
 
 @query(f"""SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(n) AS BIGINT) AS n_with_id, count(*) AS n_ids, count(*) FILTER (WHERE n > 1) AS n_repeated_ids, CAST(sum(n) AS BIGINT) AS n_full, CAST(sum(f) AS BIGINT) AS n_final,
@@ -333,7 +341,7 @@ def quality_profile(spark, sf_dir):
 @query(f"""SELECT count(*) FILTER (WHERE k % 11 = 0) AS n_repeated_keys, CAST(sum(n) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_zero, CAST(0 AS BIGINT) AS n_zero_final, CAST(0 AS BIGINT) AS n_noisy, CAST(sum(n) AS BIGINT) AS n_dated,
 CAST(coalesce(sum(n) FILTER (WHERE subcategory IS NOT NULL), 0) AS BIGINT) AS n_subcategory, CAST(sum(n) AS BIGINT) AS n_sure FROM (SELECT *, CASE WHEN k % 11 = 0 THEN 2 ELSE 1 END AS n FROM ({MODERN}))""")
 def audit_records(spark, sf_dir):
-    found = modern.parse_blocks(blocks.assemble_blocks(text.drop_noise_lines(modern_lines(spark, sf_dir))))
+    found = modern.modern_records(modern_docs(spark, sf_dir))
     return records.audit_records(found, modern.KEY, NOISE["modern"])
 
 
@@ -355,11 +363,31 @@ def read_record_files(spark, sf_dir):
 def write_record_tables(spark, sf_dir):
     path, out = scratch(spark), None
     for name in write_records(records_modern(spark, sf_dir), path):
-        part = spark.read.parquet(f"{path}/{name}").select(F.lit(name).alias("output"), "supply_no", "account_no")
+        part = spark.read.parquet(output_path(path, name)).select(F.lit(name).alias("output"), "supply_no", "account_no")
         out = part if out is None else out.union(part)
     return out
 
 
+RUN = f"""SELECT count(*) FILTER (WHERE layout IS NOT NULL) AS n_records, (SELECT count(*) FROM ({O}) WHERE k % 11 = 0) AS n_duplicates, CAST(0 AS BIGINT) AS n_review, count(*) FILTER (WHERE category = 'ΦΟΠ') AS n_residential, count(*) FILTER (WHERE category <> 'ΦΟΠ') AS n_commercial,
+count(*) FILTER (WHERE raw_code = 'Φ.Ο.Π') AS n_code_variants, count(*) FILTER (WHERE raw_code = 'Γ-wrap') AS n_wraps, count(store) AS n_store, count(receipt_no) AS n_receipt
+FROM (SELECT layout, category, raw_code, store, receipt_no FROM ({MODERN}) UNION ALL SELECT layout, category, raw_code, store, receipt_no FROM ({V2018}))"""
+
+
+@query(RUN)
+def write_run_summary(spark, sf_dir):
+    """What is counted while a run of both layouts is written."""
+    return write_run(judged(all_docs(spark, sf_dir)), scratch(spark))
+
+
+@query(f"""SELECT output, count(*) AS n FROM (SELECT CASE WHEN category = 'ΦΟΠ' THEN 'residential' ELSE 'commercial' END AS output FROM ({MODERN}) UNION ALL SELECT CASE WHEN category = 'ΦΟΠ' THEN 'residential' ELSE 'commercial' END FROM ({V2018})
+UNION ALL SELECT 'rejected' FROM ({MODERN}) WHERE k % 11 = 0 UNION ALL SELECT 'rejected' FROM ({O})) GROUP BY output""")
+def write_run_outputs(spark, sf_dir):
+    """The table that a run of both layouts is written to."""
+    path = scratch(spark)
+    write_run(judged(all_docs(spark, sf_dir)), path)
+    return spark.read.parquet(path).groupBy("output").agg(F.count("*").alias("n"))
+
+
 @query(f"SELECT supply_no, account_no FROM ({MODERN}) WHERE is_final")
 def write_filtered_table(spark, sf_dir):
     path = scratch(spark)
@@ -377,7 +405,7 @@ def write_stats_table(spark, sf_dir):
 @query(f"SELECT account_no, reject_reason, CAST(2 AS BIGINT) AS n FROM (SELECT account_no, 'duplicate' AS reject_reason FROM ({MODERN}) WHERE k % 11 = 0)")
 def write_reject_table(spark, sf_dir):
     path = scratch(spark)
-    rejects = modern.extract_modern(modern_lines(spark, sf_dir))[1]
+    rejects = modern.extract_modern(modern_docs(spark, sf_dir))[1]
     write_rejects(rejects, path)
     write_rejects(rejects, path)
     return spark.read.parquet(path).where("run_at IS NOT NULL").groupBy("account_no", "reject_reason").agg(F.count("*").alias("n"))
