@@ -16,7 +16,7 @@ from .. import functions as fn
 from ..operators import blocks, layout, modern, records, text, v2018
 from ..patterns import NOISE
 from ..sources import audit_files, output_path, read_documents, read_records, write_filtered, write_records, write_rejects, write_run, write_stats
-from ..streaming import stream_extract, stream_format_counts
+from ..streaming import records_of_stream, rejects_of_stream, stream_extract, stream_format_counts
 from .pipeline import extract, filter_final, judged
 from .rendering import doubled, orders, render_modern, render_v2018
 
@@ -69,20 +69,20 @@ CASE WHEN k % 5 <> 4 AND k % 3 < 2 THEN k + 100 END AS last_reading, CASE WHEN k
 CASE WHEN k % 5 <> 4 AND k % 3 < 2 THEN 1 + k % 2 END AS multiplier, CASE WHEN k % 5 <> 4 AND k % 3 < 2 THEN CAST(100 AS BIGINT) END AS reading_diff,
 CASE WHEN k % 5 IN (0, 1, 3) THEN 'ΦΟΠ' ELSE 'Επαγγελματικό' END AS category,
 CASE WHEN k % 5 = 2 AND k % 3 < 2 THEN CASE WHEN k % 2 = 0 THEN 'Απλό επαγγελματικό' ELSE 'Βιομηχανικό' END END AS subcategory,
-k % 5 <> 4 AND k % 3 < 2 AS is_final, CAST(NULL AS VARCHAR) AS store, CAST(NULL AS VARCHAR) AS receipt_no, CAST(d - INTERVAL 30 DAY AS DATE) AS date_from, CAST(d AS DATE) AS date_to,
+k % 5 <> 4 AND k % 3 < 2 AS is_final, CASE WHEN k % 5 <> 4 AND k % 3 = 2 AND k % 2 = 0 THEN seg END AS store, CASE WHEN k % 5 <> 4 AND k % 3 = 2 AND k % 2 = 1 THEN CAST(k AS VARCHAR) END AS receipt_no, CAST(d - INTERVAL 30 DAY AS DATE) AS date_from, CAST(d AS DATE) AS date_to,
 FALSE AS needs_review, CAST(NULL AS VARCHAR) AS reason, CAST(1.0 AS DOUBLE) AS confidence,
 CASE k % 5 WHEN 0 THEN 'ΦΟΠ' WHEN 1 THEN 'Φ.Ο.Π' WHEN 2 THEN 'Γ21' WHEN 3 THEN 'Γ22' ELSE 'Γ-wrap' END AS raw_code,
 CASE WHEN k % 5 IN (0, 1, 3) THEN 'Τιμολόγιο' ELSE 'Επαγγελματικό' END AS raw_label, 'modern' AS layout
 FROM ({O})"""
 V2018 = f"""SELECT 'v' || k AS doc_id, k,
 CASE k % 3 WHEN 0 THEN CAST(c + 100000000000 AS VARCHAR) WHEN 1 THEN '5' || CAST(c + 1000000000 AS VARCHAR) || '01' ELSE '55' || CAST(c + 10000000000 AS VARCHAR) || '02' END AS supply_no,
-lpad(CAST(k AS VARCHAR), 6, '0') AS account_no, strftime(d, '%d/%m/%Y') AS issue_date, strftime(d - INTERVAL 120 DAY, '%d/%m/%Y') || ' - ' || strftime(d, '%d/%m/%Y') AS period,
-'720 52 ' || seg AS city, k % 2 = 0 AS is_final, CASE WHEN k % 5 < 3 THEN 'ΦΟΠ' ELSE 'Επαγγελματικό' END AS category, lpad(CAST(k + 3 AS VARCHAR), 9, '0') AS receipt_no,
+lpad(CAST(k AS VARCHAR), 6, '0') AS account_no, strftime(CASE WHEN k % 16 = 5 THEN d - INTERVAL 120 DAY ELSE d END, '%d/%m/%Y') AS issue_date, strftime(d - INTERVAL 120 DAY, '%d/%m/%Y') || ' - ' || strftime(d, '%d/%m/%Y') AS period,
+'720 52 ' || CASE WHEN k % 16 = 9 THEN 'ΠΟΛΗ ΑΘΗΝΑ' ELSE seg END AS city, k % 2 = 0 AS is_final, CASE WHEN k % 5 < 3 THEN 'ΦΟΠ' ELSE 'Επαγγελματικό' END AS category, lpad(CAST(k + 3 AS VARCHAR), 9, '0') AS receipt_no,
 CAST(k % 5000 + 1 AS DOUBLE) AS kwh, CAST(round(round(price * 100) / 100, 2) AS DECIMAL(12, 2)) AS total_amount,
 'RF48 9077 3800 0300 ' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') || ' ' || lpad(CAST((k + 7) % 10000 AS VARCHAR), 4, '0') || ' 6' AS payment_code,
 lpad(CAST(k + 1 AS VARCHAR), 8, '0') AS contract_account, lpad(CAST(k + 2 AS VARCHAR), 8, '0') AS partner_code, CAST(k % 90 + 1 AS INTEGER) AS days,
 CASE WHEN k % 2 = 0 THEN k % 80000 + 10743 END AS last_reading, CASE WHEN k % 2 = 0 THEN k % 80000 + 10000 END AS prev_reading, CASE WHEN k % 2 = 0 THEN CAST(743 AS BIGINT) END AS reading_diff,
-CAST(CASE k % 3 WHEN 0 THEN 1 WHEN 1 THEN 40 ELSE 80 END AS BIGINT) AS multiplier, 'ΔΗΜΟΣ ' || seg || ' - ' || seg AS name_address,
+CAST(CASE k % 3 WHEN 0 THEN 1 WHEN 1 THEN 40 ELSE 80 END AS BIGINT) AS multiplier, CASE WHEN k % 16 = 7 THEN 'Ο λογαριασμός' ELSE 'ΔΗΜΟΣ ' || seg END || ' - ' || CASE WHEN k % 16 = 9 THEN '720 52 ΠΟΛΗ ΑΘΗΝΑ' ELSE seg END AS name_address,
 CAST(d - INTERVAL 120 DAY AS DATE) AS date_from, CAST(d AS DATE) AS date_to, FALSE AS needs_review, CAST(NULL AS VARCHAR) AS reason, CAST(1.0 AS DOUBLE) AS confidence,
 CAST(NULL AS VARCHAR) AS subcategory, CAST(NULL AS VARCHAR) AS store, CASE WHEN k % 5 < 3 THEN 'ΦΟΠ' ELSE 'Επαγγελματικό' END AS raw_code, CASE WHEN k % 2 = 0 THEN 'ΕΚΚΑΘΑΡΙΣΤΙΚΟΣ' ELSE '' END AS raw_label, 'v2018' AS layout
 FROM ({O})"""
@@ -144,7 +144,7 @@ TWICE = f"SELECT m.*, row_number() OVER (PARTITION BY doc_id ORDER BY k, copy) A
 
 @query(f"""SELECT doc_id, block_no, supply_no || '  ' || account_no || '  ' || issue_date || '  ' || period || '  ' || replace(name_address, ' ', '  ') || '  ' || city AS line1,
 CASE k % 5 WHEN 0 THEN 'ΦΟΠ  Τιμολόγιο' WHEN 1 THEN 'Φ.Ο.Π  Τιμολόγιο' WHEN 2 THEN 'Γ21  Επαγγελματικό' WHEN 3 THEN 'Γ22  Τιμολόγιο' ELSE 'Γ23' END AS line2,
-CASE WHEN k % 5 = 4 THEN 'Επαγγελματικό' WHEN k % 3 = 2 THEN 'Σημείωση' ELSE CASE WHEN k % 3 = 0 THEN 'Ημέρα  ' ELSE '' END || (k + 100) || '  ' || k || '  ' || (1 + k % 2) || '  100' END AS line3 FROM ({TWICE})""")
+CASE WHEN k % 5 = 4 THEN 'Επαγγελματικό' WHEN k % 3 = 2 THEN CASE WHEN k % 2 = 0 THEN 'ΚΑΤΑΣΤΗΜΑ  ΕΞΥΠΗΡ.ΔΕΗ  :  ' || store ELSE 'ΠΑΡΑΣΤ:  ' || k END ELSE CASE WHEN k % 3 = 0 THEN 'Ημέρα  ' ELSE '' END || (k + 100) || '  ' || k || '  ' || (1 + k % 2) || '  100' END AS line3 FROM ({TWICE})""")
 def blocks_modern(spark, sf_dir):
     found = blocks.assemble_blocks(text.drop_noise_lines(modern_lines(spark, sf_dir)))
     return found.select("doc_id", "block_no", "line1", "line2", "line3")
@@ -184,7 +184,7 @@ def records_v2018(spark, sf_dir):
     return v2018.extract_v2018(render_v2018(spark, sf_dir))
 
 
-@query(f"SELECT doc_id, supply_no, account_no, issue_date, category, CASE WHEN is_final AND k % 80000 + 10000 IS NOT NULL THEN last_reading ELSE k % 80000 + 10743 END AS last_reading, kwh, days FROM ({V2018})")
+@query(f"SELECT doc_id, supply_no, account_no, issue_date, category, CASE WHEN k % 16 <> 4 THEN k % 80000 + 10743 END AS last_reading, kwh, days FROM ({V2018})")
 def records_v2018_enhanced(spark, sf_dir):
     """Without the limit to final bills; the third number must have four digits, so a last digit is lent by a fourth."""
     docs = render_v2018(spark, sf_dir).withColumn("text", F.replace("text", F.lit(" 743 τέλος"), F.lit(" 7430 τέλος")))
@@ -326,7 +326,7 @@ def layout_counts(spark, sf_dir):
 
 
 @query(f"""SELECT count(*) AS n_records, count(*) FILTER (WHERE k % 11 = 0) AS n_duplicates, CAST(0 AS BIGINT) AS n_review, count(*) FILTER (WHERE category = 'ΦΟΠ') AS n_residential, count(*) FILTER (WHERE category <> 'ΦΟΠ') AS n_commercial,
-count(*) FILTER (WHERE raw_code = 'Φ.Ο.Π') AS n_code_variants, count(*) FILTER (WHERE raw_code = 'Γ-wrap') AS n_wraps, CAST(0 AS BIGINT) AS n_store, CAST(0 AS BIGINT) AS n_receipt FROM ({MODERN})""")
+count(*) FILTER (WHERE raw_code = 'Φ.Ο.Π') AS n_code_variants, count(*) FILTER (WHERE raw_code = 'Γ-wrap') AS n_wraps, count(store) AS n_store, count(receipt_no) AS n_receipt FROM ({MODERN})""")
 def run_summary(spark, sf_dir):
     return records.run_summary(*modern.extract_modern(modern_docs(spark, sf_dir)))
 
@@ -411,14 +411,16 @@ def write_reject_table(spark, sf_dir):
     return spark.read.parquet(path).where("run_at IS NOT NULL").groupBy("account_no", "reject_reason").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, CAST(p - 1 AS INTEGER) AS page_no, CAST(length(pages[p]) + CASE WHEN p = len(pages) THEN 1 ELSE 0 END AS INTEGER) AS n_chars
-FROM (SELECT doc_id, pages, unnest(range(1, len(pages) + 1)) AS p FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(12)) AS pages FROM documents))""")
+@query("""SELECT doc_id, CAST(n AS BIGINT) AS n_chars, page_nos FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, length(coalesce(text, '')) AS n FROM documents), (SELECT true AS page_nos)""")
 def read_document_files(spark, sf_dir):
-    """Every document as a file of its own, with the line end that the writer adds, and its pages."""
+    """Every document a page of some files, its id the page's first line; page_nos: whether the numbers of its file's pages are 0, 1, ... to the last."""
     path = scratch(spark)
-    table(spark, sf_dir, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(path)
-    pages = read_documents(spark, f"{path}/*")
-    return pages.select(F.regexp_extract("doc_id", r"doc_id=(\d+)/", 1).cast("bigint").alias("doc_id"), F.col("page_no").cast("int").alias("page_no"), F.length("text").alias("n_chars"))
+    body = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    table(spark, sf_dir, "documents").select(F.translate(body, "\f", " ")).write.option("lineSep", "\f").text(path)
+    pages = read_documents(spark, path)
+    of_file = pages.groupBy(F.col("doc_id").alias("file")).agg(((F.count("*") == F.max("page_no") + 1) & (F.countDistinct("page_no") == F.count("*"))).alias("page_nos"))
+    parts = F.split("text", "\n", 2)
+    return pages.join(of_file, F.col("doc_id") == F.col("file")).select(F.get(parts, F.lit(0)).alias("doc_id"), F.length(F.get(parts, F.lit(1))).cast("bigint").alias("n_chars"), "page_nos")
 
 
 @query("SELECT true AS ok, CAST(NULL AS VARCHAR) AS reason, count(*) AS n FROM information_schema.tables WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations')")
@@ -427,17 +429,28 @@ def audit_input_files(spark, sf_dir):
     return audit_files(spark, sf_dir, ".parquet", 1 << 28, b"PAR1").groupBy("ok", "reason").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT supply_no, account_no, layout, CAST(1 AS BIGINT) AS n FROM ({MODERN}) UNION ALL SELECT supply_no, account_no, layout, 1 FROM ({V2018})")
-def stream_extraction(spark, sf_dir):
-    """Two drops of files; the second brings all of the first again."""
+def streamed(spark: SparkSession, sf_dir: str) -> str:
+    """Where a stream has put two drops of files; the second brings all of the first again."""
     path = scratch(spark)
-    docs = render_modern(spark, sf_dir).union(render_v2018(spark, sf_dir))
+    docs = all_docs(spark, sf_dir)
     for drop in (docs.where("doc_id LIKE 'm%'"), docs):
         drop.write.mode("append").parquet(f"{path}/in")
         run = stream_extract(spark, f"{path}/in", f"{path}/out", f"{path}/state")
         run.awaitTermination()
         run.stop()
-    return spark.read.parquet(f"{path}/out").groupBy("supply_no", "account_no", "layout").agg(F.count("*").alias("n"))
+    return f"{path}/out"
+
+
+@query(f"SELECT supply_no, account_no, layout, CAST(1 AS BIGINT) AS n FROM ({MODERN}) UNION ALL SELECT supply_no, account_no, layout, 1 FROM ({V2018})")
+def stream_extraction(spark, sf_dir):
+    return records_of_stream(spark, streamed(spark, sf_dir)).groupBy("supply_no", "account_no", "layout").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT doc_id, account_no, reject_reason, CASE WHEN k % 11 = 0 THEN 3 ELSE 1 END::BIGINT AS n FROM (SELECT *, 'duplicate' AS reject_reason FROM ({MODERN}))
+UNION ALL SELECT 'u' || k, NULL, 'no text', 1 FROM ({O})""")
+def stream_rejects(spark, sf_dir):
+    """Of the second drop all records of the first are duplicates; one in eleven is twice in each."""
+    return rejects_of_stream(spark, streamed(spark, sf_dir)).groupBy("doc_id", "account_no", "reject_reason").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT 'modern' AS layout, count(DISTINCT c) AS n FROM ({O}) UNION ALL SELECT 'v2018', count(*) FROM ({O})")

@@ -2,46 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.layout import route_layout
-from ..plans.pipeline import extract
+from ..operators.modern import KEY
+from ..plans.pipeline import COLUMNS, REJECT_COLUMNS, judged
 
 DOCUMENT = "doc_id string, text string"
 
 
-def stream_extract(spark: SparkSession, source: str, out: str, checkpoint: str, keys: tuple[str, ...] = ("supply_no", "account_no", "issue_date", "period"), schema: str = DOCUMENT) -> StreamingQuery:
-    """Records of the documents that are new in the folder `source` (Parquet), appended to `out`; keys that an earlier run wrote are dropped.
+#: Folders of remembered keys; after so many batches they are merged into one part, so that parts, and files of a bucket, stay few.
+BUCKETS, MERGE = 64, 32
 
-    A batch's own duplicates keep the first record; then those whose key is
-    already written go, by an anti-join with `out`, so no state is kept. Blocks
-    need row windows, which streams lack, so a batch is a frame of its own. A
-    batch that is run again after a failure replaces its folder.
+
+def _parts(spark: SparkSession, path: str, before: int) -> list[str]:
+    """The parts of the key table that hold the keys of the batches before a number: the last merged one and the batches after it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    whole = lambda f: files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))
+    names = [f.getPath().getName() for f in files.listStatus(at) if whole(f)] if files.exists(at) else []
+    numbers = {kind: [n for n in (int(x[6:]) for x in names if x[5] == kind) if n < before] for kind in "bm"}
+    merged = max(numbers["m"], default=-1)
+    return [f"{path}/part=m{merged}"] * (merged >= 0) + [f"{path}/part=b{n}" for n in sorted(numbers["b"]) if n > merged]
+
+
+def _keys(spark: SparkSession, path: str, parts: list[str]) -> DataFrame | None:
+    return spark.read.schema("h1 bigint, h2 int, bucket int, part string").option("basePath", path).parquet(*parts) if parts else None
+
+
+def stream_extract(spark: SparkSession, source: str, out: str, checkpoint: str, keys: tuple[str, ...] = KEY, schema: str = DOCUMENT) -> StreamingQuery:
+    """Records and rejects of the documents (doc_id, text) that are new in the folder `source` (Parquet); a key that an earlier record had is a duplicate.
+
+    out/rows: what judged() gives, divided by batch and by output ('record' or
+    'reject'); records_of_stream() and rejects_of_stream() read it. A batch's own
+    duplicates keep the first record. The keys of earlier batches are
+    remembered as 96 bits of hashes in out/keys, divided by buckets of the hash;
+    a batch reads the buckets that its own keys fall into, and nothing of the rows
+    written before. A batch that is run again after a failure replaces what it wrote.
     """
+    remembered = f"{out}/keys"
 
     def batch(docs: DataFrame, number: int) -> None:
-        records = extract(docs)[0]
-        try:
-            written = spark.read.parquet(out)
-        except AnalysisException as e:
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            written = None  # nothing is written yet
-        if written is not None:
-            old = written.where(F.col("batch") != number).select(*[F.col(k).alias(f"_{k}") for k in keys])
-            same = F.lit(True)
-            for k in keys:
-                same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-            records = records.join(old, same, "left_anti")
-        records.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        hashed = [F.coalesce(F.col(k).cast("string"), F.lit("\uffff")) for k in keys]
+        h1 = F.xxhash64(*hashed)
+        rows = judged(docs).withColumns({"h1": h1, "h2": F.hash(*hashed), "bucket": F.pmod(h1, F.lit(BUCKETS)).cast("int")})
+        rows.write.mode("overwrite").parquet(f"{out}/work")  # documents are parsed once
+        rows = spark.read.schema(rows.schema).parquet(f"{out}/work")
+        fresh = (F.col("layout") == "modern") & F.col("reject_reason").isNull()
+        touched = [r.bucket for r in rows.where(fresh).select("bucket").distinct().collect()]  # BUCKETS numbers at most
+        old = _keys(spark, remembered, _parts(spark, remembered, number))
+        if old is not None and touched:
+            old = old.where(F.col("bucket").isin(touched)).select(F.col("h1").alias("o1"), F.col("h2").alias("o2"))
+            met = rows.where(fresh).join(old, (F.col("h1") == F.col("o1")) & (F.col("h2") == F.col("o2")), "left")
+            met = met.withColumn("reject_reason", F.when(F.col("o1").isNotNull(), "duplicate")).drop("o1", "o2")
+            rows = met.unionByName(rows.where(~fresh))
+        rows = rows.withColumn("output", F.when(F.col("reject_reason").isNull(), "record").otherwise("reject"))
+        rows.write.mode("overwrite").partitionBy("output").parquet(f"{out}/rows/batch={number}")
+        new = spark.read.schema(rows.schema).parquet(f"{out}/rows/batch={number}").where("output = 'record' AND layout = 'modern'").select("h1", "h2", "bucket")
+        new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{remembered}/part=b{number}")
+        if number % MERGE == MERGE - 1:
+            every = _keys(spark, remembered, _parts(spark, remembered, number + 1)).select("h1", "h2", "bucket")
+            every.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{remembered}/part=m{number}")
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def records_of_stream(spark: SparkSession, out: str) -> DataFrame:
+    """All records that stream_extract() has written."""
+    return spark.read.parquet(f"{out}/rows").where("output = 'record'").select(*COLUMNS)
+
+
+def rejects_of_stream(spark: SparkSession, out: str) -> DataFrame:
+    """All rejects that stream_extract() has written, and the batch that each came with."""
+    return spark.read.parquet(f"{out}/rows").where("output = 'reject'").select(*REJECT_COLUMNS, "batch")
+
+
 def stream_format_counts(spark: SparkSession, source: str, name: str, checkpoint: str | None = None, schema: str = DOCUMENT) -> StreamingQuery:
     """Running counts of documents by layout in the in-memory table `name`."""
     counts = route_layout(spark.readStream.schema(schema).parquet(source)).groupBy("layout").agg(F.count("*").alias("n"))
