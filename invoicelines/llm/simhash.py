@@ -46,8 +46,8 @@ BLOCK = 2048
 SIMILARITY, WORDS = 0.8, 8
 #: Posting keys of long fingerprints, and bits in each.
 KEYS, KEY_BITS = 192, 24
-#: Shorter lists are compared many at once.
-FEW = 64
+#: Shorter lists are compared many at once; members of a block that come with their sets.
+FEW, SETS = 64, 256
 BYTES = [0xFF << (8 * i) for i in range(8)]
 #: For each value of a byte, a byte for each of its bits, as one number.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
@@ -344,8 +344,22 @@ def _sized(n: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np
     return np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
 
 
+def _roots(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least member of each one's component, with the pairs (i, j) added to what `root` already joins."""
+    while len(i):
+        least = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], least)
+        np.minimum.at(new, root[j], least)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    return root
+
+
 def _proposed(postings: DataFrame, by: list[str], bits: int, similarity: float) -> DataFrame:
-    """Of each member a of a list (rows of equal columns `by`): b, the first one before it that is near, and c, the nearest one, at d bits."""
+    """Of each member a of a list (rows of equal columns `by`) that is near another: b, the first one before it that is near, c, the nearest one, at d bits, and r, the first one that a chain of near ones leads to."""
     slots = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = [c for c in postings.columns if c not in (*by, "fp", "n")]
 
@@ -353,10 +367,11 @@ def _proposed(postings: DataFrame, by: list[str], bits: int, similarity: float)
         for columns, starts, _ in _lists(batches, None):
             ids, n, fp = columns[1], columns[2], np.stack(columns[3:], axis=1).view(np.uint64)
             none = 1 << 62
-            first, nearest = np.full(len(ids), len(ids)), np.full(len(ids), none)
+            first, nearest, root = np.full(len(ids), len(ids)), np.full(len(ids), none), np.arange(len(ids))
             for i, j in _pairs(fp, starts, bits):
                 can = _sized(n, i, j, similarity)
                 i, j = i[can], j[can]
+                root = _roots(root, i, j)
                 far = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=-1, dtype=np.int64) << 32
                 np.minimum.at(first, j, i)
                 np.minimum.at(nearest, j, far | i)
@@ -364,59 +379,115 @@ def _proposed(postings: DataFrame, by: list[str], bits: int, similarity: float)
             own = np.flatnonzero(nearest < none)
             before = first[own] < len(ids)
             b = np.where(before, ids[np.minimum(first[own], len(ids) - 1)], 0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(b, mask=~before), pa.array(ids[nearest[own] & 0xFFFFFFFF]), pa.array(nearest[own] >> 32)], names=["a", "b", "c", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(b, mask=~before), pa.array(ids[nearest[own] & 0xFFFFFFFF]), pa.array(nearest[own] >> 32), pa.array(ids[root[own]])], names=["a", "b", "c", "d", "r"])
 
     key = F.col(by[0]) if len(by) == 1 else F.xxhash64(*by)
     dealt = postings.select(key.alias("key"), "fp", "n", *names).repartition(slots, "key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(run, "a bigint, b bigint, c bigint, d bigint")
+    return dealt.mapInArrow(run, "a bigint, b bigint, c bigint, d bigint, r bigint")
 
 
-def _across(lists: DataFrame, nodes: DataFrame, names: list[str], found: DataFrame, bits: int, block: int, similarity: float) -> DataFrame:
-    """All pairs (a, b) at most `bits` apart within `lists` (key, fp) whose components differ.
+def _cells(rows: DataFrame, block: int) -> DataFrame:
+    """rows (key, fp, label, others) once for each cell of its key's grid: cell, fp, label, other, others.
 
-    Members outside a list's largest component are compared with all members, in
-    a grid of blocks, so a task holds about two blocks however long the list.
+    Members outside a key's largest label are compared with all members, in a
+    grid of blocks, so a task holds about two blocks however many members a key has.
     """
-    slots = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    label = F.coalesce("component", "fp")
-    rows, _ = stored(lists.join(found, F.col("fp") == F.col("node"), "left").select("key", "fp", label.alias("label")), "simhash")
+    payload = [c for c in rows.columns if c not in ("key", "fp", "label")]
     parts = rows.groupBy("key", "label").agg(F.count("*").alias("m"))
     parts = parts.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "label")).alias("most")).where("n > most.m")
     grid = parts.select("key", F.col("most.label").alias("main"), F.ceil(F.col("n") / block).cast("int").alias("wide"), F.ceil((F.col("n") - F.col("most.m")) / block).cast("int").alias("high"))
-    rows = rows.join(grid, "key").join(nodes.select("fp", "n", *names), "fp").withColumn("other", F.col("label") != F.col("main"))
+    rows = rows.join(grid, "key").withColumn("other", F.col("label") != F.col("main"))
     own = F.pmod(F.xxhash64("fp"), F.col("wide")).cast("int")
     own_high = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("high")).cast("int")
-    members = rows.select("key", own.alias("x"), F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("y"), "fp", "label", F.lit(False).alias("other"), "n", *names)
-    others = rows.where("other").select("key", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("x"), own_high.alias("y"), "fp", "label", "other", "n", *names)
+    places = F.array(F.struct(F.lit(False).alias("other"), own.alias("x"), F.sequence(F.lit(0), F.col("high") - 1).alias("ys")))
+    of_other = F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda x: F.struct(F.lit(True).alias("other"), x.alias("x"), F.array(own_high).alias("ys")))
+    rows = rows.select("key", "fp", "label", *payload, F.explode(F.when(F.col("other"), F.concat(places, of_other)).otherwise(places)).alias("at"))
+    rows = rows.select("key", "fp", "label", *payload, "at.other", "at.x", F.explode("at.ys").alias("y"))
+    return rows.select(F.xxhash64("key", "x", "y").alias("cell"), "fp", "label", F.col("other").cast("int").alias("other"), *payload)
+
+
+def _near_others(rows: DataFrame, names: list[str], bits: int, block: int, similarity: float) -> DataFrame:
+    """fp of the members of a key that have a near one of another label in it. rows: key, fp, label, n, the words."""
+    slots = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns, starts, _ in _lists(batches, None):
             ids, labels, other, n = columns[1:5]
+            met = np.zeros(len(ids), bool)
             for i, j in _pairs(np.stack(columns[5:], axis=1).view(np.uint64), starts, bits, other.astype(bool)):
                 kept = (labels[i] != labels[j]) & _sized(n, i, j, similarity)
-                a, b = ids[i[kept]], ids[j[kept]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+                met[i[kept]] = met[j[kept]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(ids[met]))], names=["fp"])
 
-    cells = members.unionByName(others).select(F.xxhash64("key", "x", "y").alias("key"), "fp", "label", F.col("other").cast("int").alias("other"), "n", *names)
-    return cells.repartition(slots, "key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
+    cells = _cells(rows, block).select("cell", "fp", "label", "other", "n", *names)
+    return cells.repartition(slots, "cell").sortWithinPartitions("cell").mapInArrow(run, "fp bigint").distinct()
 
 
-def verified(edges: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The edges (a, b) whose sets of shingles have the similarity. nodes: fp, least (id and body, a hash of the text, of one of its texts); texts: id, text."""
+def _across(rows: DataFrame, names: list[str], bits: int, block: int, similarity: float) -> DataFrame:
+    """Links (a, b) between labels of a key: of members that are near and whose sets have the similarity, as many as connect the labels of each cell. rows: key, fp, label, n, held (the set), the words."""
+    slots = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, starts, _ in _lists(batches, None):
+            ids, labels, other, n, held = columns[1:6]
+            cell = np.searchsorted(starts, np.arange(len(ids)), side="right")
+            above: dict[tuple[int, int], tuple[int, int]] = {}  # labels of a cell that are linked
+            a, b = [], []
+
+            def top(label: tuple[int, int], above=above) -> tuple[int, int]:
+                while label in above:
+                    label = above[label]
+                return label
+
+            for i, j in _pairs(np.stack(columns[6:], axis=1).view(np.uint64), starts, bits, other.astype(bool)):
+                kept = (labels[i] != labels[j]) & _sized(n, i, j, similarity)
+                for x, y in zip(i[kept].tolist(), j[kept].tolist(), strict=True):
+                    p, q = top((int(cell[x]), int(labels[x]))), top((int(cell[y]), int(labels[y])))
+                    if p != q and _similar(held[x], held[y], similarity):
+                        above[max(p, q)] = min(p, q)
+                        a.append(max(ids[x], ids[y]))
+                        b.append(min(ids[x], ids[y]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    cells = _cells(rows, block).select("cell", "fp", "label", "other", "n", "held", *names)
+    return cells.repartition(slots, "cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _similar(x: bytes, y: bytes, similarity: float) -> bool:
+    """Of two sets, as sorted 64-bit numbers."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if not len(x) or not len(y):
+        return len(x) == len(y)
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return common >= similarity * (len(x) + len(y) - common) - 1e-9
+
+
+def shingle_sets(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """fp, held (its shingles' hashes, sorted, as 64-bit numbers) of the nodes in `wanted` (fp). nodes: fp, least (id and body, a hash of the text, of one of its texts); texts: id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t, shingle) for t in b.column(0).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_number(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["fp", "held"])
+            yield pa.RecordBatch.from_arrays([pa.array([_number(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["fp", "held"])
 
-    ends = edges.select(F.col("a").alias("fp")).union(edges.select(F.col("b").alias("fp"))).distinct()
-    wanted = nodes.join(ends, "fp", "left_semi").select(F.col("least.id").alias("w_id"), F.col("least.body").alias("w_body"))
-    picked = texts.join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.xxhash64("text") == F.col("w_body")), "left_semi")
+    least = nodes.join(wanted, "fp", "left_semi").select(F.col("least.id").alias("w_id"), F.col("least.body").alias("w_body"))
+    picked = texts.join(least, F.col("id").eqNullSafe(F.col("w_id")) & (F.xxhash64("text") == F.col("w_body")), "left_semi")
     picked = picked.groupBy("id", F.xxhash64("text")).agg(F.first("text").alias("text")).select("text")
-    sets, _ = stored(picked.mapInArrow(run, "fp bigint, held array<bigint>"), "simhash")
+    return stored(picked.mapInArrow(run, "fp bigint, held binary"), "simhash")[0]
+
+
+def verified(edges: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The edges (a, b) whose sets of shingles have the similarity; see shingle_sets()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = pa.array([_similar(x, y, similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(kept)
+
+    ends = edges.select(F.col("a").alias("fp")).union(edges.select(F.col("b").alias("fp"))).distinct()
+    sets = shingle_sets(ends, nodes, texts, shingle)
     both = edges.join(sets.select(F.col("fp").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("held").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def near_components(nodes: DataFrame, texts: DataFrame, similarity: float, shingle: int, words: int, block: int = BLOCK) -> DataFrame:
@@ -424,8 +495,11 @@ def near_components(nodes: DataFrame, texts: DataFrame, similarity: float, shing
 
     nodes: fp, least, n (shingles), f0, f1, ..., a row for each set of shingles; texts: id, text. Each
     node is first verified against one that is near in some list and against the nearest
-    (lists longer than `block` are dealt in blocks that share their first member). In lists
-    that hold several components then, all near pairs across them are verified too.
+    (lists longer than `block` are dealt in blocks that share their first member). What
+    chains of near nodes connect is a cluster, and a whole list longer than `block`
+    is in one. In clusters that these links leave in several components, members that are near
+    one of another component meet in a grid of blocks, their sets with them, and are
+    verified there: rows follow the members, not their pairs.
     Pairs whose sizes rule the similarity out are never looked at.
     """
     bits, names, spark = allowed_bits(similarity, words), [f"f{k}" for k in range(words)], nodes.sparkSession
@@ -433,20 +507,38 @@ def near_components(nodes: DataFrame, texts: DataFrame, similarity: float, shing
     with_words = nodes.select("fp", "n", *names)
     near = _proposed(shared.where("NOT long").select("key", "fp").join(with_words, "fp").select("key", "fp", "n", *names), ["key"], bits, similarity)
     long = shared.where("long").select("key", "fp")
+    chains = None
     if not long.isEmpty():
         sizes = long.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("wide"), F.min("fp").alias("hub"))
         own = F.array(F.pmod(F.xxhash64("fp"), F.col("wide")).cast("int"))
-        dealt = long.join(sizes, "key").withColumn("x", F.explode(F.when(F.col("fp") == F.col("hub"), F.sequence(F.lit(0), F.col("wide") - 1)).otherwise(own)))
+        dealt = long.join(sizes, "key")
+        chains = dealt.select(F.col("fp").alias("a"), F.col("hub").alias("r"))
+        dealt = dealt.withColumn("x", F.explode(F.when(F.col("fp") == F.col("hub"), F.sequence(F.lit(0), F.col("wide") - 1)).otherwise(own)))
         near = near.union(_proposed(dealt.join(with_words, "fp").select("key", "x", "fp", "n", *names), ["key", "x"], bits, similarity))
-    near = near.groupBy("a").agg(F.min("b").alias("b"), F.min(F.struct("d", "c")).alias("nearest"))
-    near = near.select("a", F.explode(F.array("b", "nearest.c")).alias("b")).where("b IS NOT NULL")
-    first, _ = stored(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "simhash")
+    near, near_at = stored(near, "simhash")
+    pairs = near.groupBy("a").agg(F.min("b").alias("b"), F.min(F.struct("d", "c")).alias("nearest"))
+    pairs = pairs.select("a", F.explode(F.array("b", "nearest.c")).alias("b")).where("b IS NOT NULL")
+    first, _ = stored(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "simhash")
     links, _ = stored(verified(first, nodes, texts, similarity, shingle), "simhash")
-    tried, _ = stored(_across(shared.select("key", "fp"), nodes, names, components(links), bits, block, similarity).join(first, ["a", "b"], "left_anti"), "simhash")
-    if not tried.isEmpty():
-        links, _ = stored(links.union(verified(tried, nodes, texts, similarity, shingle)), "simhash")
+    found, _ = stored(components(links), "simhash")
+    # Chains between different components, by the components.
+    chains = near.select("a", "r") if chains is None else near.select("a", "r").union(chains)
+    named = lambda df, c: df.join(found.select(F.col("node").alias(f"{c}_node"), F.col("component").alias(f"{c}_label")), F.col(c) == F.col(f"{c}_node"), "left").withColumn(c, F.coalesce(f"{c}_label", c)).select("a", "r")
+    crossing, _ = stored(named(named(chains.where("a <> r").distinct(), "a"), "r").where("a <> r").distinct(), "simhash")
+    drop_stored(spark, near_at)
     drop_stored(spark, shared_at)
-    return components(links)
+    if not crossing.isEmpty():
+        clusters = components(crossing.select("a", F.col("r").alias("b")))
+        labels = crossing.select(F.col("a").alias("label")).union(crossing.select(F.col("r").alias("label"))).distinct()
+        labels = labels.join(clusters, F.col("label") == F.col("node"), "left").select(F.col("label").alias("of"), F.coalesce("component", "label").alias("key"))
+        rows = with_words.join(found, F.col("fp") == F.col("node"), "left").withColumn("label", F.coalesce("component", "fp"))
+        rows, _ = stored(rows.join(labels, F.col("label") == F.col("of")).select("key", "fp", "label", "n", *names), "simhash")
+        met, _ = stored(_near_others(rows, names, bits, block, similarity), "simhash")
+        if not met.isEmpty():
+            rows, _ = stored(rows.join(shingle_sets(met, nodes, texts, shingle), "fp").select("key", "fp", "label", "n", "held", *names), "simhash")
+            links, _ = stored(links.union(_across(rows, names, bits, SETS, similarity)), "simhash")
+            return components(links)
+    return found
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, bits: int = 3, block: int = BLOCK) -> DataFrame:

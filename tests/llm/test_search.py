@@ -316,5 +316,5 @@ def test_rows_of_a_near_group_are_linear(spark):
     assert postings <= simhash.KEYS * len(rows) and {r.long for r in several.select("long").distinct().collect()} == {True, False}
     found = simhash._proposed(several.select("key", "fp").join(nodes, "fp").select("key", "fp", "n", *names), ["key"], simhash.allowed_bits(0.8, simhash.WORDS), 0.8)
     assert 0 < found.count() <= postings
-    one = nodes.select(F.col("fp").alias("node"), F.lit(min(rows)).alias("component"))
-    assert simhash._across(several.select("key", "fp"), nodes, names, one, 110, 64, 0.8).count() == 0
+    one = nodes.select(F.lit(1).alias("key"), "fp", F.lit(min(rows)).alias("label"), "n", *names)
+    assert simhash._near_others(one, names, 110, 64, 0.8).count() == 0
