@@ -142,7 +142,7 @@ def filter_audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     Null texts are empty and fail A; a null part is the empty one; columns of
     other names are not read. Labels of ids that are not in `docs` count nothing,
-    a null label is no label. An empty table has no parts and no rows.
+    a null label, or a label of a null id, is none. An empty table has no parts and no rows.
     """
     n, whole = len(filters), (1 << len(filters)) - 1
     sizes = union_sizes(failures(docs, id_col, text, part), labels, n, id_col)

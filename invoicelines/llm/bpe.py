@@ -36,13 +36,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import computed_beside, ship, table
-from .tokenfile import PIECE_BYTES, Encoder, _groups
+from .tokenfile import PIECE_BYTES, WHOLE_PART, Encoder, _groups
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of pieces and ids that a worker remembers, about; memory of its database.
 KNOWN_BYTES, DATABASE_MEMORY = 256 << 20, "320MB"
 #: Words of more bytes contract several pairs in a step; words, and squares of their bytes, in one query.
 LONG, WORDS, SQUARES = 512, 20_000, 1 << 23
+#: Ids that are decoded by one query.
+DECODED_IDS = 1 << 20
 
 #: A word's leftmost pair of the least rank: the least of rank * 2^20 + position.
 SHORT_WORDS = """
@@ -215,18 +217,26 @@ class Codec(Encoder):
         self.known.update(zip(plain + rest, range(at, at + count), strict=True))
 
     def whole(self, text: str) -> np.ndarray:
-        """Of a text that is not remembered: its different matches contracted once."""
-        return self.encode_strings([text])[1].astype(np.uint32) if text else np.zeros(0, np.uint32)
+        """Of a text that is not remembered: part by part, the different matches of a part contracted once."""
+        found, at = [np.zeros(0, np.uint32)], 0
+        while at < len(text):
+            m = self.cut.search(text, at + WHOLE_PART) if at + WHOLE_PART < len(text) else None
+            to = m.start() if m else len(text)
+            found.append(self.encode_strings([text[at:to]])[1].astype(np.uint32))
+            at = to
+        return np.concatenate(found)
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids; ids that are not in the vocabulary have none."""
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         out = [b""] * len(ids)
-        if sizes.sum():
-            rows = pa.table({"doc": np.repeat(np.arange(len(ids), dtype=np.int32), sizes), "pos": np.arange(sizes.sum(), dtype=np.int32), "id": np.concatenate(ids).astype(np.int32)})
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids])
+        flat = np.concatenate([np.zeros(0, np.int64), *ids])
+        for at in range(0, len(flat), DECODED_IDS):
+            part = slice(at, at + DECODED_IDS)
+            rows = pa.table({"doc": doc[part], "pos": np.arange(len(doc[part]), dtype=np.int32), "id": flat[part].astype(np.int32)})
             found = self.ask(DECODED, "tokens", rows)
             for i, t in zip(found["doc"].to_pylist(), found["decoded"].to_pylist(), strict=True):
-                out[i] = t.encode("latin-1")
+                out[i] += t.encode("latin-1")
         return out
 
 
