@@ -423,10 +423,14 @@ def read_document_files(spark, sf_dir):
     return pages.join(of_file, F.col("doc_id") == F.col("file")).select(F.get(parts, F.lit(0)).alias("doc_id"), F.length(F.get(parts, F.lit(1))).cast("bigint").alias("n_chars"), "page_nos")
 
 
-@query("SELECT true AS ok, CAST(NULL AS VARCHAR) AS reason, count(*) AS n FROM information_schema.tables WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations')")
+@query("""SELECT n_nationkey, n, reason IS NULL AS ok, reason FROM (SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(length(n_name) + 1 AS BIGINT) AS n,
+CASE WHEN length(n_name) >= 8 THEN 'too large' WHEN n_name NOT LIKE 'I%' THEN 'not of this format' END AS reason FROM nation)""")
 def audit_input_files(spark, sf_dir):
-    """Whether all of the given tables' files are Parquet; a file for each table."""
-    return audit_files(spark, sf_dir, ".parquet", 1 << 28, b"PAR1").groupBy("ok", "reason").agg(F.count("*").alias("n"))
+    """Every nation's name in a file of its own (and a line's end), which shall have at most 8 bytes and begin with an I."""
+    path = scratch(spark)
+    table(spark, sf_dir, "nation").select("n_nationkey", "n_name").repartition(1).write.partitionBy("n_nationkey").text(path)
+    found = audit_files(spark, path, ".txt", 8, b"I")
+    return found.select(F.regexp_extract("path", r"n_nationkey=(\d+)/", 1).cast("bigint").alias("n_nationkey"), F.col("length").alias("n"), "ok", "reason")
 
 
 def streamed(spark: SparkSession, sf_dir: str) -> str:
