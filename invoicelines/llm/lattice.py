@@ -30,6 +30,8 @@ THRESHOLD = 0.93
 TABLES, PROBES, SCALE, SEED = 8, 16, 0.6, 9
 #: Components of at most FEW vectors are compared as pairs, larger ones in blocks.
 FEW, BLOCK = 16, 1024
+#: Vectors whose largest component is beyond this, or below its inverse, are scaled.
+HUGE = 1e100
 
 
 def neighbours() -> np.ndarray:
@@ -224,6 +226,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     v = F.col("vector")
     good = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").alias("label"), F.col(f"`{vector}`").cast("array<double>").alias("vector"))
+    # Squares of such components would overflow or vanish; the cosine has no scale.
+    most = F.array_max(F.transform(v, F.abs))
+    rows = rows.withColumn("vector", F.when(good & ((most > HUGE) | (most < 1 / HUGE)), F.transform(v, lambda x: x / most)).otherwise(v))
     rows = rows.withColumn("cid", F.when(F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(good, F.lit(False)), F.xxhash64("label", "vector")))
     classes, _ = stored(rows.where("cid IS NOT NULL").groupBy("cid").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.min("id").alias("least"), F.count("*").alias("n")), "lattice")
     groups, _ = stored(linked(classes, threshold, **kw), "lattice")

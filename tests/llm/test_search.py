@@ -224,6 +224,16 @@ def test_lattice_recall_and_odd_vectors(spark):
     assert lattice.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_lattice_of_huge_and_tiny_vectors(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=64)
+    y = x + 0.01 * rng.normal(size=64)
+    rows = [(i, (v * scale).tolist(), k) for k, scale in enumerate((1.0, 1e160, 1e300, 1e-170, 1e-290)) for i, v in ((2 * k, x), (2 * k + 1, y))]
+    rows += [(20, (x * 1e160).tolist(), 9), (21, (-x * 1e-170).tolist(), 9), (22, (y * 1e-170).tolist(), 9)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()}
+    assert all(got[i] == (1, i // 2 * 2) for i in range(10)) and got[21] == (0, 21) and got[20] == got[22] == (1, 20)
+
+
 @pytest.mark.parametrize("block", [100, 1024])
 def test_links_against_all_pairs(spark, monkeypatch, block):
     """A large group of near vectors, chains, pairs and strangers: links and components of 1,300 vectors by brute force."""
