@@ -10,6 +10,7 @@ a temperature is then fitted to a part of the sample that was kept out.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +26,8 @@ BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
 #: Most learning documents of each language; one in five calibrates.
 SAMPLE = 1200
+#: Most n-grams of the sample, each counted once a text; 8 bytes each.
+SAMPLE_GRAMS = 32 << 20
 UNKNOWN = "und"
 #: Follow-the-regularised-leader: rate, smoothing, L1 and L2 penalties, rounds over the sample; the bias's rate.
 RATE, SMOOTH, L1, L2, ROUNDS, BIAS_RATE = 1.0, 1.0, 0.2, 0.5, 3, 0.1
@@ -139,11 +142,22 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], idf: np.nd
     return model
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 3, held_out: int = 1, sample: int = SAMPLE) -> Model:
+def sampled(rows: DataFrame, sample: int) -> DataFrame:
+    """body, lang, order: of each language the `sample` different texts with a letter that have the least hashes. rows: body, lang, order (the text's hash)."""
+    # Limited before and after its shuffle, so a common language sends `sample` rows a task.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
+    usable = rows.where(F.col("body").rlike(LETTER)).select("lang", "order").distinct()
+    chosen = usable.withColumn("place", place).where(F.col("place") <= sample).select("lang", "order")
+    return rows.join(F.broadcast(chosen), ["lang", "order"]).dropDuplicates(["lang", "order"]).select("body", "lang", "order")
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 3, held_out: int = 1, sample: int = SAMPLE, most: int = SAMPLE_GRAMS) -> Model:
     """Learns from text and non-null lang of rows whose id's crc32 modulo `folds` is not `held_out`.
 
     The sample: of each language the `sample` different texts with a letter that
-    have the least hashes. Copies and texts without a letter take no place.
+    have the least hashes. Copies and texts without a letter take no place. Beyond
+    `most` n-grams (8 bytes each) over all languages the language with the most
+    of them gives up its texts of the greatest hashes.
     """
     ship(docs.sparkSession)
     rows = docs.where(fold(F.col(f"`{id_col}`"), folds) != held_out).where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
@@ -165,11 +179,6 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     counts[np.asarray(counted.column("bucket"))] = np.asarray(counted.column("n"))
     idf = np.log((1 + counts[BUCKETS]) / (1 + counts[:BUCKETS])) + 1.0
 
-    # Limited before and after its shuffle, so a common language sends `sample` rows a task.
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
-    usable = rows.where(F.col("body").rlike(LETTER)).select("lang", "order").distinct()
-    chosen = usable.withColumn("place", place).where(F.col("place") <= sample).select("lang", "order")
-
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(0).to_pylist()
@@ -179,12 +188,25 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
                 lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.astype(np.int32))) for x in (bucket, count)]
                 yield pa.RecordBatch.from_arrays([b.column(1)[at:to], b.column(2)[at:to], *lists], names=["lang", "order", "buckets", "counts"])
 
-    picked = rows.join(F.broadcast(chosen), ["lang", "order"]).dropDuplicates(["lang", "order"]).select("body", "lang", "order")
-    found = picked.mapInArrow(grams, "lang string, order bigint, buckets array<int>, counts array<int>").toArrow().sort_by([("lang", "ascending"), ("order", "ascending")])
-    data = [(b.values.to_numpy(), c.values.to_numpy(), x.as_py()) for b, c, x in zip(found.column("buckets"), found.column("counts"), found.column("lang"), strict=True) if len(b)]
-    if not data:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), idf)
-    return fit([(b, c) for b, c, _ in data], [x for _, _, x in data], idf)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        size: dict[str, int] = {}
+        for b in batches:
+            for name, order, bucket, count in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                if len(bucket):
+                    held.setdefault(name, []).append((order, bucket.values.to_numpy().copy(), count.values.to_numpy().copy()))
+                    size[name] = size.get(name, 0) + len(bucket)
+                while sum(size.values()) > most:  # rows come by their hashes: the last ones go
+                    large = max(size, key=lambda x: (size[x], x))
+                    size[large] -= len(held[large].pop()[1])
+        data = [(b, c, x) for x in sorted(held) for _, b, c in sorted(held[x], key=lambda r: r[0])]
+        model = fit([(b, c) for b, c, _ in data], [x for _, _, x in data], idf) if data else Model([], np.zeros((BUCKETS, 0)), np.zeros(0), idf)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    found = sampled(rows, sample).mapInArrow(grams, "lang string, order bigint, buckets array<int>, counts array<int>")
+    # The sample is bounded in rows a language and in n-grams over all, so one task fits it; the driver gets the model alone.
+    made = found.repartition(1).sortWithinPartitions("order", "lang").mapInArrow(learn, "model binary").collect()
+    return pickle.loads(made[0].model) if made else Model([], np.zeros((BUCKETS, 0)), np.zeros(0), idf)
 
 
 def _groups(texts: list[str | None], most: int = 1 << 18) -> Iterator[tuple[int, int]]:

@@ -331,7 +331,7 @@ def test_trie_counts(spark):
     assert trie_counts.token_counts(docs.limit(0), keep=["doc_id"]).count() == 0
 
 
-def test_language_sample_has_different_texts(spark, monkeypatch):
+def test_language_sample_has_different_texts(spark):
     """5000 copies of a text and texts without a letter leave the sample's places to the others."""
     rng = random.Random(12)
     rows = [(lang, " ".join(rng.choice(words) for _ in range(12))) for lang, words in (("en", ["the", "dog", "runs", "home"]), ("de", ["der", "hund", "geht", "heim"])) for _ in range(60)]
@@ -340,11 +340,10 @@ def test_language_sample_has_different_texts(spark, monkeypatch):
     least = distinct.where("lang = 'en' AND text LIKE '% %e%'").orderBy(F.xxhash64("text")).first().text
     copies = spark.range(5000).select(F.lit("en").alias("lang"), F.lit(least).alias("text"))
     docs = distinct.union(copies).select(F.lit(None).cast("bigint").alias("doc_id"), "lang", "text")
-    seen = []
-    fit = langid.fit
-    monkeypatch.setattr(langid, "fit", lambda data, labels, idf: seen.append(labels) or fit(data, labels, idf))
-    langid.train(docs, sample=40)
-    assert (seen[0].count("en"), seen[0].count("de")) == (40, 40)
+    picked = langid.sampled(docs.select(F.col("text").alias("body"), "lang", F.xxhash64("text").alias("order")), 40).collect()
+    seen = Counter(r.lang for r in picked)
+    assert (seen["en"], seen["de"]) == (40, 40) and len({r.body for r in picked}) == 80 and not any(r.body.endswith("!") for r in picked)
+    assert langid.train(docs, sample=40).languages == ["de", "en"]
 
 
 def test_html_names_inside_slugs(spark):
@@ -375,3 +374,15 @@ def test_html_wrappers_and_broken_quotes(spark):
     got = {r.page_id: r.text for r in found.collect()}
     assert {names[i]: got[100 + i] for i in range(len(names))} == dict.fromkeys(names, "Title The first paragraph of it. And one more.")
     assert [got[200 + i] for i in range(len(broken))] == [t for _, t in broken]
+
+
+def test_language_sample_is_bounded(spark):
+    """A bound on the sample's n-grams leaves every language its texts of the least hashes, whatever the partitions."""
+    words = {"aa": "alba anda arka", "bb": "bolo bonto brok", "cc": "cici citri crin"}
+    rows = [(i, f"{w} {'xyz'[i % 3]}{i}", x) for i in range(240) for x, w in [list(words.items())[i % 3]]]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    whole, small = langid.train(docs), langid.train(docs, most=900)
+    again = langid.train(docs.repartition(5), most=900)
+    assert whole.languages == small.languages == again.languages == list(words) and np.array_equal(small.weights, again.weights) and not np.array_equal(small.weights, whole.weights)
+    got = langid.identify(spark.createDataFrame(list(words.values()), "string").toDF("text"), small).collect()
+    assert {r.text: r.lang_pred for r in got} == {w: x for x, w in words.items()}
