@@ -311,7 +311,7 @@ def _lists(batches: Iterator[pa.RecordBatch], block: int | None) -> Iterator[tup
 
 
 def _pairs(fp: np.ndarray, starts: np.ndarray, bits: int, rest: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions i < j of one list that are at most `bits` apart, list by list or many short lists at once; rest: one of the two must be marked."""
+    """Positions i < j of one list that are at most `bits` apart, in parts of long lists or many short lists at once; rest: one of the two must be marked."""
     sizes = np.diff(starts)
     few = (sizes > 1) & (sizes <= FEW)
     if few.any():
@@ -329,14 +329,11 @@ def _pairs(fp: np.ndarray, starts: np.ndarray, bits: int, rest: np.ndarray | Non
     for s, e in zip(starts[:-1][sizes > FEW].tolist(), starts[1:][sizes > FEW].tolist(), strict=True):
         mine = np.arange(s, e) if rest is None else s + np.flatnonzero(rest[s:e])
         step = max(1, (1 << 19) // ((e - s) * fp.shape[1]))
-        found = []
-        for at in range(0, len(mine), step):
+        for at in range(0, len(mine), step):  # each step's pairs by themselves: all of a list would be too many
             i, j = np.nonzero(_linked(fp[mine[at : at + step], None], fp[None, s:e], bits))
             i, j = mine[at : at + step][i], j + s
             kept = i < j if rest is None else (i < j) | (~rest[j] & (i != j))
-            found.append(np.stack((np.minimum(i, j)[kept], np.maximum(i, j)[kept])))
-        if found:
-            yield tuple(np.concatenate(found, axis=1))
+            yield np.minimum(i, j)[kept], np.maximum(i, j)[kept]
 
 
 def _sized(n: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
