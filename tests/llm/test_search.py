@@ -328,3 +328,32 @@ def test_rows_of_a_near_group_are_linear(spark):
     assert 0 < found.count() <= postings
     one = nodes.select(F.lit(1).alias("key"), "fp", F.lit(min(rows)).alias("label"), "n", *names)
     assert simhash._near_others(one, names, 110, 64, 0.8).count() == 0
+
+
+def test_near_but_not_similar_texts_are_no_pairs_of_rows(spark):
+    """Texts of a pairwise similarity of 0.6 to 0.8 are near by their bits; what is dealt follows them and their blocks, and nothing links."""
+    rng, base = random.Random(17), random_words(random.Random(16), 300, 10**6)
+    names, made = [f"f{k}" for k in range(simhash.WORDS)], {}
+    for n in (150, 300):
+        texts = []
+        for i in range(n):
+            w = base.copy()
+            for p in rng.sample(range(5, 295, 6), 6):
+                w[p] = f"own{i}x{p}"
+            texts.append(" ".join(w))
+        sets = [simhash.shingle_set(t.encode(), 5) for t in texts]
+        held = np.stack([np.isin(np.unique(np.concatenate(sets)), x) for x in sets]).astype(np.float32)
+        common = held @ held.T
+        share = (common / (held.sum(axis=1)[:, None] + held.sum(axis=1)[None] - common))[np.triu_indices(n, 1)]
+        assert 0.6 < share.min() < share.max() < 0.8
+        rows = [(1, simhash._number(x), simhash._number(x), len(x), x.tobytes(), *[simhash._signed(v) for v in simhash._bits(iter((x,)), simhash.WORDS)]) for x in sets]
+        frame = spark.createDataFrame(rows, "key bigint, fp bigint, label bigint, n bigint, held binary, " + ", ".join(f"{c} bigint" for c in names))
+        bits = simhash.allowed_bits(0.8, simhash.WORDS)
+        made[n] = simhash._cells(frame.drop("held"), simhash.BLOCK).count()
+        assert 0.9 * n <= simhash._near_others(frame.drop("held"), names, bits, simhash.BLOCK, 0.8).count() <= n
+        assert simhash._across(frame, names, bits, 64, 0.8).count() == 0
+        some = simhash._across(frame, names, bits, 64, 0.6)
+        assert n - 1 <= some.count() <= 25 * n and simhash.components(some).count() == n - 1
+    assert made[300] <= 2 * made[150] + 2
+    docs = docs_of(spark, texts + texts[:3])
+    assert simhash.near_dedup(docs).count() == 300
