@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import confidence, first_match, groups, infer_subcategory, parse_dotted_period, review_reason, strip
-from ..patterns import COMMERCIAL, NOISE, RECEIPT, RESIDENTIAL, RESIDENTIAL_CODES, ROW1, ROW2, ROW3, ROW3_BARE, STORE, TARIFF, WRAP_CODE, u
+from ..patterns import COMMERCIAL, NOISE, RECEIPT, RESIDENTIAL, RESIDENTIAL_CODES, ROW1, ROW2, ROW3, ROW3_BARE, STORE, TARIFF, WRAP_CODE
 from .blocks import document_blocks, gather_lines, kept_lines, wraps
 from .records import dedup_first, duplicates
 from .text import noise
