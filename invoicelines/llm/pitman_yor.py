@@ -6,7 +6,8 @@ A text is its words and one end. The model of the next token given the last one:
   the dish RARE. Every word of the corpus, however rare, is a context and has a
   restaurant of these dishes; the context restaurants share one parent without
   context, whose base is uniform.
-* Which rare word it is comes from one restaurant of rare words. Its base spells
+* Which rare word it is depends on the context too: what rare words follow a context
+  is a restaurant of its own, below one restaurant of all rare words, whose base spells
   words byte by byte: restaurants for contexts of up to ORDER bytes (a blank marks
   the word's beginning), the parent of a context being the one without its first
   byte, down to the empty one, whose base is uniform over 256 bytes and an end.
@@ -25,7 +26,9 @@ sweep, so they do not depend on partitions or batches.
 A word context is one row (r, s, n, t, ...) with arrays of at most SYMBOLS + 2
 dishes; a round maps these rows, and only the tables of each dish go up. Spelling
 restaurants are rows of (level, r, s, c, t), and their sweeps joins level by level.
-Words are known as contexts by 60 bits of their XXH64.
+Rare words of a context are rows of (r, w, n, t), a row a pair; a pair seen once has one
+table, so only the others are seated, by joins with their context and their word.
+Words are known as contexts, and rare words in pairs, by 60 bits of their XXH64.
 """
 
 from __future__ import annotations
@@ -61,7 +64,7 @@ END_BYTE = 256
 #: A worker's counts are handed on when they have so many words.
 FLUSH = 400_000
 #: Tokens that a task works on at once; words it has numbers for at once.
-CHUNK, KNOWN = 1_000_000, 500_000
+CHUNK, KNOWN = 500_000, 300_000
 CONTEXT_BITS = (1 << 60) - 1
 #: Customers of a dish that sit down one by one; then in groups, each a GROUP-th of those seated.
 ALONE, GROUP = 64, 16
@@ -200,6 +203,8 @@ class Contexts:
     rows: DataFrame
     roots: np.ndarray
     trace: list[float]
+    #: r, w, known, base_n, total, spelled of all pairs of context and rare word in the texts (followers()); None: rare words don't depend on contexts.
+    pairs: DataFrame | None = None
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -283,6 +288,70 @@ def pair_counts(docs: DataFrame, symbols: dict[bytes, int], size: int) -> DataFr
     return docs.where("learn").select("text").mapInArrow(run, "r bigint, s int, n bigint").groupBy("r", "s").agg(F.sum("n").alias("n"))
 
 
+def rare_pair_counts(docs: DataFrame, symbols: dict[bytes, int]) -> DataFrame:
+    """r, w, n: how often the rare word w follows the context r in texts to learn from, for all pairs of any text. docs: learn (boolean), text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_words, ids, rare = None, None, None
+        for words, rows, sizes, of in chunks(batches, 1):
+            if words is not of_words:
+                of_words, ids, rare = words, np.zeros(0, np.int64), np.zeros(0, bool)
+            fresh = list(islice(words, len(ids), None))
+            ids = np.concatenate((ids, context_ids(fresh)))
+            rare = np.concatenate((rare, np.array([w != b"" and w not in symbols for w in fresh], bool)))
+            learn = np.repeat(np.array([b.column(0)[k].as_py() for b, k in rows], bool), sizes)
+            at = np.flatnonzero(rare[of])
+            pair, place = np.unique(before(of, sizes)[at] * len(ids) + of[at], return_inverse=True)
+            n = np.bincount(place, learn[at], len(pair)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[pair // len(ids)]), pa.array(ids[pair % len(ids)]), pa.array(n)], names=["r", "w", "n"])
+
+    return docs.select("learn", "text").mapInArrow(run, "r bigint, w bigint, n bigint").groupBy("r", "w").agg(F.sum("n").alias("n"))
+
+
+def word_id(word: str) -> Column:
+    """context_ids() of a column."""
+    return F.xxhash64(word).bitwiseAND(F.lit(CONTEXT_BITS))
+
+
+class Followers:
+    """The restaurants of the rare words that follow each context. Nothing of them is held whole: all are rows, and sums by context and by word."""
+
+    def __init__(self, docs: DataFrame, symbols: dict[bytes, int]) -> None:
+        self.spark = docs.sparkSession
+        self.every, _ = stored(rare_pair_counts(docs, symbols), "pitman-yor")
+        # Pairs seen once have one table for ever.
+        self.still = self.every.where("n <= 1").withColumn("t", F.col("n"))
+        self.seated, self.at = stored(self.every.where("n > 1").withColumn("t", F.lit(1).cast("bigint")), "pitman-yor")
+
+    def sums(self, by: str) -> DataFrame:
+        """by, customers, tables."""
+        return self.still.where("n > 0").unionByName(self.seated).groupBy(by).agg(F.sum("n").alias("customers"), F.sum("t").alias("tables"))
+
+    def reseat(self, parent: DataFrame, seed: int) -> None:
+        """A sweep. parent: w, p."""
+        d = PAIRS[1]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in gathered(batches):
+                n, t, tables, p = (np.asarray(b.column(k)).astype(float) for k in (2, 3, 4, 5))
+                new = seat(n, STRENGTH + d * (tables - t), p, np.full(len(n), d), Draws(seed, np.asarray(b.column(0)), np.asarray(b.column(1))))
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(new.astype(np.int64))], names=["r", "w", "n", "t"])
+
+        rows = self.seated.join(self.sums("r").select("r", "tables"), "r").join(parent.select("w", "p"), "w")
+        new, at = stored(rows.select("r", "w", "n", "t", "tables", "p").mapInArrow(run, "r bigint, w bigint, n bigint, t bigint"), "pitman-yor")
+        drop_stored(self.spark, self.at)
+        self.seated, self.at = new, at
+
+    def logs(self, words: DataFrame, unknown: float) -> DataFrame:
+        """r, w, known, base_n, total, spelled: the log10 probabilities of all pairs; total has the unknown words' together. words: word, n, p of the rare ones."""
+        rooms = self.sums("r").select("r", "customers", (STRENGTH + PAIRS[1] * F.col("tables")).alias("open"))
+        rows = self.still.unionByName(self.seated).join(rooms, "r", "left").join(words.select(word_id("word").alias("w"), F.col("n").alias("base_n"), "p"), "w")
+        all_ = STRENGTH + F.coalesce(F.col("customers"), F.lit(0))
+        of = lambda p: F.log10((F.col("n") - PAIRS[1] * F.col("t") + F.coalesce(F.col("open"), F.lit(STRENGTH)) * p) / all_)
+        known = F.col("base_n") > 0
+        return rows.select("r", "w", known.cast("bigint").alias("known"), "base_n", of(F.when(known, F.col("p")).otherwise(unknown)).alias("total"), of(F.col("p")).alias("spelled"))
+
+
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows in batches of at least TOGETHER, the last one smaller; none is empty."""
     held, rows = [], 0
@@ -538,11 +607,13 @@ def respelled(words: DataFrame, state: DataFrame, tables: int, seed: int, held_g
     return source.mapInArrow(run, fields)
 
 
-def train(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, n_symbols: int = SYMBOLS, held_grams: int = HELD_GRAMS) -> tuple[Sizes, Contexts, DataFrame]:
+def train(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, n_symbols: int = SYMBOLS, held_grams: int = HELD_GRAMS, followers: bool = False) -> tuple[Sizes, Contexts, DataFrame]:
     """Sizes, the word contexts, and the table of all words: word, n, p (rare words: the averaged probability among rare ones).
 
     docs: learn (boolean), text. Words of texts not to learn from are rows too,
-    with n = 0, so that they have a probability.
+    with n = 0, so that they have a probability. followers: which rare word it is
+    depends on the context; the customers of the restaurant of rare words are then the
+    tables of the contexts' ones, which are seated once after each of its seatings.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -555,7 +626,15 @@ def train(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, n_sym
     contexts = train_contexts(pair_counts(docs, symbols, n_symbols + 2), n_symbols + 2)
     hot = spark.createDataFrame([(w.decode(),) for w in symbols], "word string")
     rare = words.join(F.broadcast(hot), "word", "left_anti")  # at most n_symbols rows
-    rare, at = stored(rare.select("word", "n", F.least("n", F.lit(1)).alias("t"), F.lit(0.0).alias("p_sum")), "pitman-yor")
+    below = Followers(docs, symbols) if followers else None
+
+    def sent_up(rare: DataFrame) -> DataFrame:
+        """rare with the tables of its followers as customers n."""
+        sums = below.sums("w").select("w", F.col("tables").alias("n"))
+        return rare.drop("n").withColumn("w", word_id("word")).join(sums, "w", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+
+    own_rare = sent_up(rare) if below else rare
+    rare, at = stored(own_rare.select("word", "n", F.least("n", F.lit(1)).alias("t"), F.lit(0.0).alias("p_sum")), "pitman-yor")
     state, unknown = None, 0.0
     customers = totals[0] - sum(n for _, n in top) if top else 0
     for k in range(burn_in + samples):
@@ -570,12 +649,25 @@ def train(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, n_sym
         new, new_at = stored(respelled(rare, state, tables, k + 1, held_grams), "pitman-yor")
         drop_stored(spark, at)
         rare, at = new, new_at
-        if k >= burn_in:
+        if below:
+            customers = rare.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if k >= burn_in or below:
             tables, known = rare.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("spell"))), F.lit(0.0))).first()
             way = (STRENGTH + WORDS * tables) / (STRENGTH + customers)
+            p = (F.col("n") - WORDS * F.col("t")) / (STRENGTH + customers) + way * F.col("spell")
+        if k >= burn_in:
             unknown += way * max(1e-12, 1.0 - known)
-            rare = rare.withColumn("p_sum", F.col("p_sum") + (F.col("n") - WORDS * F.col("t")) / (STRENGTH + customers) + way * F.col("spell"))
+            rare = rare.withColumn("p_sum", F.col("p_sum") + p)
+        if below:
+            below.reseat(new.select(word_id("word").alias("w"), p.alias("p")), k + 1)
+            if k + 1 < burn_in + samples:
+                new, new_at = stored(sent_up(rare).select("word", "n", "t", "p_sum"), "pitman-yor")
+                drop_stored(spark, at)
+                rare, at = new, new_at
     rare = rare.select("word", "n", (F.col("p_sum") / samples).alias("p"))
+    if below:
+        rare = rare.drop("n").join(words, "word").select("word", "n", "p")
+        contexts.pairs = below.logs(rare, unknown / samples)
     every = rare.unionByName(words.join(F.broadcast(hot), "word").select("word", "n", F.lit(None).cast("double").alias("p")))
     sizes.unknown = unknown / samples
     return sizes, contexts, every
@@ -607,11 +699,13 @@ def score(docs: DataFrame, model: tuple[Sizes, Contexts, DataFrame], held_words:
 
     docs: doc_id, learn, text. The numbers of the `held_words` most frequent
     words and of up to `most_pairs` pairs are in every task, those of the others
-    are joined to the texts' rows of them.
+    are joined to the texts' rows of them. Rare words whose probability depends on the
+    context are joined all of them.
     """
     sizes, contexts, words = model
     spark = docs.sparkSession
-    held = words.orderBy(F.desc("n"), "word").limit(held_words).toArrow()
+    pairs = contexts.pairs
+    held = (words.where("p IS NULL") if pairs is not None else words.orderBy(F.desc("n"), "word").limit(held_words)).toArrow()
     log_base = -np.log10(sizes.tokens + sizes.types + 1)
     n = np.asarray(held.column("n")).astype(float)
     p = np.asarray(held.column("p").to_numpy(), float)
@@ -624,7 +718,9 @@ def score(docs: DataFrame, model: tuple[Sizes, Contexts, DataFrame], held_words:
     numbers = np.vstack((np.stack((np.log10(n + 1) + log_base, logs, n > 0, open_logs), 1), end, np.zeros(4)))
     shared = spark.sparkContext.broadcast((sizes.symbols, lookup, numbers, held_pairs(contexts, most_pairs)))
     size = contexts.roots.shape[1]
-    fields = f"row bigint, id {docs.schema['doc_id'].dataType.simpleString()}, learn boolean, word string, r bigint, s int, n bigint, known bigint, base double, total double, spelled double"
+    fields = f"row bigint, id {docs.schema['doc_id'].dataType.simpleString()}, learn boolean, word string, r bigint, s int, w bigint, n bigint, known bigint, base double, total double, spelled double"
+
+    followed = pairs is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols, lookup, numbers, (held_contexts, keys, p) = shared.value
@@ -662,7 +758,9 @@ def score(docs: DataFrame, model: tuple[Sizes, Contexts, DataFrame], held_words:
             missed = np.flatnonzero(~hit)
             yield _scored(rows_of[missed], id_type, r=r[last[missed]], s=s[of[missed]].astype(np.int32))
             other = np.flatnonzero(at[of] == len(numbers) - 1)
-            if len(other):
+            if len(other) and followed:
+                yield _scored(rows_of[other], id_type, r=r[last[other]], w=r[of[other]])
+            elif len(other):
                 names = list(words)
                 yield _scored(rows_of[other], id_type, word=pa.array([names[i] for i in of[other].tolist()], pa.binary()).cast(pa.string()))
 
@@ -670,9 +768,11 @@ def score(docs: DataFrame, model: tuple[Sizes, Contexts, DataFrame], held_words:
     scored, _ = stored(numbered.mapInArrow(run, fields), "pitman-yor")
     totals = ("n", "known", "base", "total", "spelled")
     whole = scored.where("n IS NOT NULL").select("row", "id", "learn", *totals)
-    one = scored.where("word IS NOT NULL").select("row", "word").join(words, "word")
-    unknown = F.col("n") == 0
-    one = one.select("row", F.lit(0).cast("bigint").alias("n"), F.when(unknown, 0).otherwise(1).cast("bigint").alias("known"), (F.log10(F.col("n") + 1.0) + float(log_base)).alias("base"), F.when(unknown, log_unknown).otherwise(F.log10("p")).alias("total"), F.log10("p").alias("spelled"))
+    if followed:
+        one = scored.where("w IS NOT NULL").select("row", "r", "w").join(pairs, ["r", "w"])
+        one = one.select("row", F.lit(0).cast("bigint").alias("n"), "known", (F.log10(F.col("base_n") + 1.0) + float(log_base)).alias("base"), "total", "spelled")
+    else:
+        one = _joined_words(scored, words, log_base, log_unknown)
     # A pair that was never seen has the averaged product of its context's way and the parent's probability.
     parent = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(contexts.roots.T)], "s int, root array<double>")
     two = scored.where("s IS NOT NULL").select("row", "r", "s").join(contexts.rows.select("r", F.col("s").alias("dishes"), "p", "ways"), "r", "left").join(F.broadcast(parent), "s")  # size rows
@@ -685,9 +785,16 @@ def score(docs: DataFrame, model: tuple[Sizes, Contexts, DataFrame], held_words:
     return rows.select("doc_id", (~F.col("learn")).alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(sizes.tokens).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), F.col("total").alias("score"), F.col("spelled").alias("open_score"), F.pow(10.0, -F.col("total") / F.col("n")).alias("perplexity"))
 
 
+def _joined_words(scored: DataFrame, words: DataFrame, log_base: float, log_unknown: float) -> DataFrame:
+    """The numbers of words that no task holds, by their rows of `scored`."""
+    unknown = F.col("n") == 0
+    one = scored.where("word IS NOT NULL").select("row", "word").join(words, "word")
+    return one.select("row", F.lit(0).cast("bigint").alias("n"), F.when(unknown, 0).otherwise(1).cast("bigint").alias("known"), (F.log10(F.col("n") + 1.0) + float(log_base)).alias("base"), F.when(unknown, log_unknown).otherwise(F.log10("p")).alias("total"), F.log10("p").alias("spelled"))
+
+
 def _scored(row: np.ndarray, id_type: pa.DataType, **columns) -> pa.RecordBatch:
     """A batch of the rows that score() stores, whose other columns are null."""
-    types = {"id": id_type, "learn": pa.bool_(), "word": pa.string(), "r": pa.int64(), "s": pa.int32(), "n": pa.int64(), "known": pa.int64(), "base": pa.float64(), "total": pa.float64(), "spelled": pa.float64()}
+    types = {"id": id_type, "learn": pa.bool_(), "word": pa.string(), "r": pa.int64(), "s": pa.int32(), "w": pa.int64(), "n": pa.int64(), "known": pa.int64(), "base": pa.float64(), "total": pa.float64(), "spelled": pa.float64()}
     arrays = [pa.array(columns[c], t) if c in columns else pa.nulls(len(row), t) for c, t in types.items()]
     return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), *arrays], names=["row", *types])
 
@@ -701,7 +808,7 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "
     empty table gives an empty result.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), (fold(F.col(f"`{id_col}`"), folds) != held_out).alias("learn"), F.col(f"`{text}`").alias("text"))
-    return score(rows, train(rows, **kw)).withColumnRenamed("doc_id", id_col)
+    return score(rows, train(rows, **{"followers": True} | kw)).withColumnRenamed("doc_id", id_col)
 
 
 def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
