@@ -28,3 +28,17 @@ def test_earlier_keys_and_duplicates_meet_once(spark, tmp_path, monkeypatch, fre
     duplicates = [(0, "a", 2), (0, "b", 1), (0, "b", 2), (1, "c", 1), (1, "c", 3), (1, "c", 4), (1, "d", 1)]
     assert rejects == sorted([(*d, "duplicate") for d in duplicates] + [(0, "u", 0, "no text"), (2, "e", 0, "no text")])
     assert plans[:2] == [shuffles, shuffles]
+
+
+def test_rows_that_cannot_repeat_are_written_once(spark, tmp_path):
+    whole = "Ο λογαριασμός σας συνοπτικά\nΚατανάλωση Ηλεκτρικής Ενέργειας\n"
+    spark.createDataFrame([("v", whole + "123456789012"), ("w", whole), ("m", "x")], "doc_id string, text string").coalesce(1).write.parquet(f"{tmp_path}/in")
+    block = "1000000001 000000002 01/02/2020 02.01.2020-01.02.2020  ANNA  STREET  ATHENS\nΦΟΠ Τιμολόγιο\n5 4 1 1"
+    for text in (None, "".join(c * 2 for c in block)):
+        if text:
+            spark.createDataFrame([("n", text)], "doc_id string, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream_extract(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert not (tmp_path / "out/work").exists()  # parsed rows go to the stream's own table at once
+    assert sorted(r.doc_id for r in records_of_stream(spark, f"{tmp_path}/out").collect()) == ["n", "v"]
+    assert [(r.doc_id, r.reject_reason) for r in rejects_of_stream(spark, f"{tmp_path}/out").collect()] == [("w", "no supply number")]
+    assert not list(tmp_path.glob("out/rows/*/output=open"))
